@@ -143,6 +143,8 @@ def _seen(q: np.ndarray, ids: np.ndarray, texts: list[bytes], parts: int) -> lis
     if not found["q"]:
         return []
     q, ids, code, context = (np.concatenate(found[k]) for k in ("q", "id", "code", "context"))
+    if not len(q):
+        return []
     order = np.lexsort((ids, context, code, q))
     q, ids, code, context = q[order], ids[order], code[order], context[order]
     first = _first_of_equal(q, code, context)
