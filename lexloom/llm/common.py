@@ -25,6 +25,14 @@ def use_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a table, and let Spark's cleaner delete the shuffle files that only led to it."""
+    use_checkpoints(df.sparkSession)
+    out = df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_key, use_checkpoints
+from .common import cut, id_key
 
 #: Shortest lines, in words, that are compared by edits (one edit of five words leaves a similarity of 0.8).
 MIN_WORDS = 5
@@ -69,8 +69,7 @@ def near_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     texts = texts.select(F.col("__d").alias("d"), F.col("__h").alias("h"), F.explode(F.transform("asked", lambda n: F.struct(n.alias("n"), F.element_at(F.col("lines"), n + 1).alias("line")))).alias("x")).select("d", "h", "x.n", "x.line").distinct()
     words = texts.select(_place().alias("place"), F.split("line", " ").alias("words"))
     words = words.withColumn("w", F.size("words")).where(F.col("w") >= MIN_WORDS)
-    use_checkpoints(docs.sparkSession)
-    words = words.checkpoint()
+    words = cut(words)
 
     # a line's hash is the exclusive or of its words' hashes with their places, so that a word can be taken out
     def folded(shift: int) -> Column:
@@ -113,11 +112,10 @@ def _verified(links: DataFrame, words: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(d, h, exact, near): numbers of the lines to remove, for each document that has any."""
-    use_checkpoints(docs.sparkSession)
-    lines = line_table(docs.select("doc_id", "text")).checkpoint()
+    lines = cut(line_table(docs.select("doc_id", "text")))
     total = lines.count()
     found = lines.groupBy("a", "b").agg(F.min(_place()).alias("place"), F.count("*").alias("copies"), F.max("halves").alias("halves"))
-    found = found.checkpoint()
+    found = cut(found)
     repeated = found.where("copies > 1").select("a", "b", F.col("place").alias("first"), "copies")
     exact = looked_up(lines.select("a", "b", "d", "h", "n"), repeated, ["a", "b"], "copies", total).where(_place() > F.col("first")).select("d", "h", "n", F.lit(True).alias("exact"))
     near = near_links(docs, found.select("place", "halves")).select("place.d", "place.h", "place.n", F.lit(False).alias("exact")).distinct()
