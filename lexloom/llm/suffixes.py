@@ -22,8 +22,8 @@ from .common import NO_ID, batches, id_key, mix, powers, shuffle_partitions, utf
 WIDTH, GRAM = 50, 18
 #: Anchors with more classes than this have their strings sent one by one, under their own hashes.
 CROWDED = 4096
-#: Bytes of text that are worked on together.
-_BLOCK = 200_000
+#: Bytes of text that are worked on together, and anchors that a task holds before it sends them.
+_BLOCK, HELD = 200_000, 500_000
 _ODD, _ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _LOW40 = np.uint64((1 << 40) - 1)
 
@@ -133,18 +133,24 @@ def _first_of_equal(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _seen(q: np.ndarray, ids: np.ndarray, texts: list[bytes], parts: int) -> list[tuple]:
-    """For every group q and part p: the anchors' classes, each with its smallest and its greatest id."""
-    found: dict[str, list[np.ndarray]] = {"q": [], "id": [], "code": [], "context": []}
+def _seen(q: np.ndarray, ids: np.ndarray, texts: list[bytes], parts: int):
+    """For every group q and part p: the anchors' classes, each with its smallest and its greatest id.
+
+    A class may come in several rows; rows go out each time that HELD anchors have come together."""
+    found: list[dict[str, np.ndarray]] = []
     for a, b in batches([len(t) for t in texts], _BLOCK):
         x = Block(texts[a:b]).anchors()
-        for k, v in (("q", q[a:b][x["doc"]]), ("id", ids[a:b][x["doc"]]), ("code", x["code"]), ("context", x["context"])):
-            found[k].append(v)
-    if not found["q"]:
-        return []
-    q, ids, code, context = (np.concatenate(found[k]) for k in ("q", "id", "code", "context"))
-    if not len(q):
+        found.append({"q": q[a:b][x["doc"]], "id": ids[a:b][x["doc"]], "code": x["code"], "context": x["context"]})
+        if sum(len(f["q"]) for f in found) >= HELD:
+            yield _seen_rows(found, parts)
+            found = []
+    yield _seen_rows(found, parts)
+
+
+def _seen_rows(found: list[dict[str, np.ndarray]], parts: int) -> list[tuple]:
+    if not sum(len(f["q"]) for f in found):
         return []
+    q, ids, code, context = (np.concatenate([f[k] for f in found]) for k in ("q", "id", "code", "context"))
     order = np.lexsort((ids, context, code, q))
     q, ids, code, context = q[order], ids[order], code[order], context[order]
     first = _first_of_equal(q, code, context)
@@ -152,7 +158,7 @@ def _seen(q: np.ndarray, ids: np.ndarray, texts: list[bytes], parts: int) -> lis
     on = np.unique(np.concatenate((first, last[ids[last] != ids[first]])))
     q, ids, code, context = q[on], ids[on], code[on], context[on]
     p = part_of(code, parts)
-    edge = np.append(_first_of_equal(q, p), len(q)) if len(q) else [0]
+    edge = np.append(_first_of_equal(q, p), len(q))
     return [(int(p[a]), int(q[a]), *put40(code[a:b] & _LOW40), *put40(context[a:b]), put_ids(ids[a:b])) for a, b in zip(edge, edge[1:], strict=False)]
 
 
@@ -470,9 +476,9 @@ def _finish(table: pa.Table, known: pa.Table, parts: int, with_text: bool) -> pa
     return _rows(out, _schema(_RESULT + _TEXT * with_text))
 
 
-def _grouped(docs: DataFrame, groups: int, parts: int) -> DataFrame:
+def _grouped(docs: DataFrame, groups: int, tasks: int) -> DataFrame:
     rows = docs.select(id_key().alias("id"), utf8().alias("data"))
-    return rows.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("q"), "id", "data").repartition(parts, "q")
+    return rows.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("q"), "id", "data").repartition(tasks, "q")
 
 
 def with_kept_text(docs: DataFrame) -> DataFrame:
@@ -504,14 +510,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, crowded: int = CROW
     the ends of a line that very many documents hold, have their strings told by 128 hashed bits
     instead and dealt by them, so that no task gets them all."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    groups = 8 * parts
-    texts = _grouped(docs, groups, parts)
+    tasks = shuffle_partitions(spark)
+    groups, parts = 8 * tasks, 4 * tasks
+    texts = _grouped(docs, groups, tasks)
 
     def seen(it):
         for batch in it:
-            rows = _seen(batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_pylist(), parts)
-            yield from _rows(rows, _schema(_SEEN)).to_batches()
+            for rows in _seen(batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_pylist(), parts):
+                yield from _rows(rows, _schema(_SEEN)).to_batches()
 
     classes = texts.mapInArrow(seen, _SEEN).groupBy("p").applyInArrow(lambda table: _classes(table, crowded), _CLASSES)
     heard = classes.groupBy("q")
