@@ -74,3 +74,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (op1_importance_resampling, op2_toxicity, op3_chat_format, op4_weighted_fingerprints, op5_topk_search, op6_sentencepiece, op7_line_dedup, op8_suffix_dedup, op9_simhash, op10_packing)
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
