@@ -36,7 +36,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return chat.conversation_digests(chat.format_turns(rows.unionByName(more), BYTE_BPE), BYTE_BPE)
+    return chat.conversation_digests(chat.format_turns(rows.unionByName(more), BYTE_BPE), BYTE_BPE).drop("n_tokens")
 
 
 def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +76,22 @@ def queries() -> dict:
     }
 
 
+OP3 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS loss_chars,
+ sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+ sum(14 + length(role) + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'))) AS formatted_chars FROM c GROUP BY conv_id"""
+OP5 = """WITH e AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+ SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s) WHERE rank <= 5"""
+OP7 = """WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+ m AS (SELECT doc_id, n, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) AS k, line FROM l WHERE trim(translate(line, concat(chr(9), chr(11), chr(12), chr(13)), '    ')) <> ''),
+ d AS (SELECT doc_id, n, line, string_split(line, ' ') AS w FROM m WHERE k = 1 AND len(string_split(line, ' ')) >= 5), v AS (SELECT doc_id, n, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+ o AS (SELECT doc_id, n, row_number() OVER (PARTITION BY md5(concat(len(w), '/', i, '/', array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' '))) ORDER BY doc_id, n) AS r FROM v),
+ c AS (SELECT doc_id, n, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS line FROM v WHERE len(w) > 5), p AS (SELECT c.doc_id AS a, c.n AS b, d.doc_id AS x, d.n AS y FROM c JOIN d ON d.line = c.line),
+ near AS (SELECT doc_id, n FROM o WHERE r > 1 UNION SELECT a, b FROM p WHERE (x, y) < (a, b) UNION SELECT x, y FROM p WHERE (a, b) < (x, y)),
+ f AS (SELECT l.doc_id, l.n, l.line, coalesce(m.k > 1, false) AS ex, near.doc_id IS NOT NULL AS ne FROM l LEFT JOIN m ON m.doc_id = l.doc_id AND m.n = l.n LEFT JOIN near ON near.doc_id = l.doc_id AND near.n = l.n)
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (ex) AS n_exact, count(*) FILTER (ne) AS n_near, sha256(coalesce(string_agg(CASE WHEN NOT ex AND NOT ne THEN line END, chr(10) ORDER BY n), '')) AS kept_sha256 FROM f GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": OP3, "op5_topk_search": OP5, "op7_line_dedup": OP7}
