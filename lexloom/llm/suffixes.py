@@ -45,7 +45,9 @@ class Block:
         return mix((h[end] - h[start]) * powers(pow(_ODD2, -1, 1 << 64), len(h))[start])
 
     def anchors(self) -> dict[str, np.ndarray]:
-        """Occurrences of anchors: text, first and last string start, place, hashes of anchor and context."""
+        """Occurrences of anchors: text, first and last string start, place, hashes of anchor and context.
+
+        Least hashes are small numbers, so that they are mixed again before parts are told by them."""
         n = len(self.data) - WIDTH + 1
         names = ("doc", "first", "last", "at", "code", "context")
         if n <= 0:
@@ -65,7 +67,7 @@ class Block:
         first, last = start[edge], start[np.concatenate((edge[1:], [len(at)])) - 1] if len(at) else start
         at, doc = at[edge], doc[edge]
         context = mix(self.hashes(first, last + WIDTH) + (at - first).astype(np.uint64) * np.uint64(_ODD2))
-        return {"doc": doc, "first": first, "last": last, "at": at, "code": gram[at], "context": context & _LOW40}
+        return {"doc": doc, "first": first, "last": last, "at": at, "code": mix(gram[at] ^ np.uint64(_ODD2)), "context": context & _LOW40}
 
 
 def prefix_hashes(data: np.ndarray, odd: int) -> np.ndarray:
