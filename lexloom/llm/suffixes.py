@@ -292,9 +292,9 @@ class Suffixes:
     How far two agree is found by binary search over prefix hashes, so that a comparison takes a number
     of steps that grows with the logarithm of the width; the next byte decides."""
 
-    def __init__(self, data: np.ndarray, start: np.ndarray):
+    def __init__(self, data: np.ndarray, start: np.ndarray, hashes: np.ndarray | None = None):
         self.data, self.start = data, start
-        self.hash = prefix_hashes(data, _ODD)
+        self.hash = prefix_hashes(data, _ODD) if hashes is None else hashes
         self.back = powers(pow(_ODD, -1, 1 << 64), len(data) + 1)
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -357,13 +357,41 @@ class Suffixes:
     def equal_bytes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether the first WIDTH bytes are the same, by the bytes."""
         same = np.ones(len(x), bool)
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        words = np.ndarray(len(self.data) + 1, "<u8", padded.data, strides=(1,))
+        words = np.ndarray(len(self.data) - 7, "<u8", np.ascontiguousarray(self.data).data, strides=(1,))
         for at in [*range(0, WIDTH - 7, 8), WIDTH - 8]:
             same &= words[self.start[x] + at] == words[self.start[y] + at]
         return same
 
 
+def _masks(code: np.ndarray, ids: np.ndarray, at: np.ndarray, run: np.ndarray, contexts: Suffixes) -> np.ndarray:
+    """For each context: which of its strings one of an earlier document among them holds, as bits."""
+    mask = np.zeros(len(run), np.uint64)
+    start, owner = _starts(np.zeros(len(run), np.int64), run.astype(np.int64) - 1)
+    # equal strings lie equally far before their anchor
+    _, anchor = np.unique(code, return_inverse=True)
+    group = anchor[owner] * 64 + at[owner].astype(np.int64) - start
+    order = np.argsort(group, kind="stable")
+    group, owner, start = group[order], owner[order], start[order]
+    more = np.diff(np.append(_first_of_equal(group), len(group)))
+    on = np.repeat(more > 1, more)
+    group, owner, start = group[on], owner[on], start[on]
+    if not len(group):
+        return mask
+    suffixes = Suffixes(contexts.data, contexts.start[owner] + start, contexts.hash)
+    order = suffixes.sort(group)
+    x, y = order[:-1], order[1:]
+    same = (group[:-1] == group[1:]).copy()  # sorting stays within groups
+    same[same] = suffixes.common(x[same], y[same]) >= WIDTH
+    same[same] = suffixes.equal_bytes(x[same], y[same])
+    run_id = np.concatenate(([0], np.cumsum(~same)))
+    own = ids[owner[order]]
+    least = np.full(run_id[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, run_id, own)
+    later = own > least[run_id]
+    np.bitwise_or.at(mask, owner[order][later], np.uint64(1) << start[order][later].astype(np.uint64))
+    return mask
+
+
 def _sorted_masks(table: pa.Table) -> pa.Table:
     """For each context of a part: which of its strings an earlier document's context holds, as bits."""
     rows = table.to_pylist()
@@ -377,29 +405,14 @@ def _sorted_masks(table: pa.Table) -> pa.Table:
         size = run.astype(np.int64) + WIDTH - 1
         begin = np.cumsum(size) - size
         start, owner = _starts(np.zeros(len(run), np.int64), run.astype(np.int64) - 1)
-        # equal strings lie equally far before their anchor
-        before = at[owner].astype(np.int64) - start
-        _, anchor = np.unique(code, return_inverse=True)
-        group = anchor[owner] * 64 + before
-        order = np.argsort(group, kind="stable")
-        group, owner, start = group[order], owner[order], start[order]
-        more = np.diff(np.append(_first_of_equal(group), len(group)))
-        on = np.repeat(more > 1, more)
-        group, owner, start = group[on], owner[on], start[on]
+        # anchors by the few, so that memory doesn't grow with the part
         mask = np.zeros(len(run), np.uint64)
-        if len(group):
-            suffixes = Suffixes(data, begin[owner] + start)
-            order = suffixes.sort(group)
-            x, y = order[:-1], order[1:]
-            same = (group[:-1] == group[1:]).copy()  # sorting stays within groups
-            same[same] = suffixes.common(x[same], y[same]) >= WIDTH
-            same[same] = suffixes.equal_bytes(x[same], y[same])
-            run_id = np.concatenate(([0], np.cumsum(~same)))
-            own = ids[owner[order]]
-            least = np.full(run_id[-1] + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, run_id, own)
-            later = own > least[run_id]
-            np.bitwise_or.at(mask, owner[order][later], np.uint64(1) << start[order][later].astype(np.uint64))
+        by_anchor = np.argsort(code, kind="stable")
+        first = np.append(_first_of_equal(code[by_anchor]), len(code))
+        hashes = prefix_hashes(data, _ODD)
+        for x, y in batches(np.diff(first).tolist(), HELD // 50):
+            on = by_anchor[first[x] : first[y]]
+            mask[on] = _masks(code[on], ids[on], at[on], run[on], Suffixes(data, begin[on], hashes))
         for i, r in enumerate(contexts):
             on = np.flatnonzero((source == i) & (mask != 0)) if len(contexts) < 64 else np.flatnonzero(mask[(lo := np.searchsorted(source, i)) : np.searchsorted(source, i + 1)]) + lo
             if len(on):
@@ -513,7 +526,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, crowded: int = CROW
     instead and dealt by them, so that no task gets them all."""
     spark = docs.sparkSession
     tasks = shuffle_partitions(spark)
-    groups, parts = 8 * tasks, 4 * tasks
+    groups, parts = 4 * tasks, tasks
     texts = _grouped(docs, groups, tasks)
 
     def seen(it):
