@@ -26,11 +26,16 @@ def use_checkpoints(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a table, and let Spark's cleaner delete the shuffle files that only led to it."""
+    """A checkpoint of the table."""
     use_checkpoints(df.sparkSession)
-    out = df.checkpoint()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of tables that no variable holds any more.
+
+    It does so when the driver's garbage is collected, which may be long after a checkpoint."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def id_key(column: str = "doc_id") -> Column:

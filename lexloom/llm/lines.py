@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_key
+from .common import cut, id_key, release
 
 #: Shortest lines, in words, that are compared by edits (one edit of five words leaves a similarity of 0.8).
 MIN_WORDS = 5
@@ -70,6 +70,7 @@ def near_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     words = texts.select(_place().alias("place"), F.split("line", " ").alias("words"))
     words = words.withColumn("w", F.size("words")).where(F.col("w") >= MIN_WORDS)
     words = cut(words)
+    release(docs.sparkSession)
 
     # a line's hash is the exclusive or of its words' hashes with their places, so that a word can be taken out
     def folded(shift: int) -> Column:
@@ -116,6 +117,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     total = lines.count()
     found = lines.groupBy("a", "b").agg(F.min(_place()).alias("place"), F.count("*").alias("copies"), F.max("halves").alias("halves"))
     found = cut(found)
+    release(docs.sparkSession)
     repeated = found.where("copies > 1").select("a", "b", F.col("place").alias("first"), "copies")
     exact = looked_up(lines.select("a", "b", "d", "h", "n"), repeated, ["a", "b"], "copies", total).where(_place() > F.col("first")).select("d", "h", "n", F.lit(True).alias("exact"))
     near = near_links(docs, found.select("place", "halves")).select("place.d", "place.h", "place.n", F.lit(False).alias("exact")).distinct()
