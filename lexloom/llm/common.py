@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -34,7 +35,9 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of tables that no variable holds any more.
 
-    It does so when the driver's garbage is collected, which may be long after a checkpoint."""
+    It does so when the driver's garbage is collected, which may be long after a checkpoint; Python's
+    goes first, as tables hold themselves in cycles."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
