@@ -115,7 +115,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
     The noise of a draw depends on seed, id and weight only, so that a rerun selects the same rows.
     Both models count every row. Null and empty texts have weight 0; repeated rows draw alike, and
     ties at the edge go to smaller ids (rows with one id stand or fall together); rows without an id
-    take part under null. Without labels nothing tells target from raw text: all weights are those of
+    take part under null. Texts meet labels by a sort-merge join whatever their sizes. Without labels nothing tells target from raw text: all weights are those of
     the smoothing, and all rows are selected. An empty table gives an empty result."""
     use_checkpoints(docs.sparkSession)
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg((F.max("quality") == 1).alias("is_target"))
@@ -123,7 +123,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
         share = marked.agg(F.avg(F.col("is_target").cast("double")).alias("s")).first().s
         share = 1.0 if share is None else share
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = bucket_counts(texts.join(marked, texts["doc_id"] == marked["__id"], "left"), buckets).collect()
+    counts = bucket_counts(texts.join(marked.hint("merge"), texts["doc_id"] == marked["__id"], "left"), buckets).collect()
     drawn = weights(texts, log_ratios(counts, buckets), seed).checkpoint()
     return highest(drawn, "draw", "doc_id", int(np.ceil(share * drawn.count())))
 
