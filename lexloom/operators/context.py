@@ -60,7 +60,7 @@ def answer_contexts(questions: DataFrame, chunks: DataFrame, scores: DataFrame,
     through the plan; texts join last. Questions without a corpus abstain and aren't searched."""
     decided = questions.withColumn("d", routing_decision("predicted")).select("*", F.col("d.decision").alias("decision"), F.col("d.corpora").alias("corpora")).drop("d")
     asked = decided.where("decision <> 'abstain'")
-    deep = vector_topk(asked, chunks, k * 4, corpora="corpora")
+    deep = vector_topk(asked, chunks, k, corpora="corpora", by_corpus=True)
     found = quota_topk(deep, asked.select("question_id", "corpora"), k)
     if strategy == "hybrid":
         lexical = bm25_topk(index, asked.select("question_id", "tokens", "corpora"), k)

@@ -27,15 +27,16 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
     return F.when((norms[0] > 0) & (norms[1] > 0), 1 - dot / (norms[0] * norms[1]))
 
 
-def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, corpora: str | None = None, exclude: tuple[str, str] | None = None) -> DataFrame:
-    """(question_id, rank, corpus_id, chunk_id, distance): the k nearest chunks of each question.
+def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, corpora: str | None = None, exclude: tuple[str, str] | None = None, by_corpus: bool = False) -> DataFrame:
+    """(question_id, rank, corpus_id, chunk_id, distance): the k nearest chunks of each question; with
+    `by_corpus` the k nearest of each corpus for each question, ranked within it.
 
     questions: question_id, vector and, if `corpora` names it, an array of the corpora to search (null:
     all). Ties go to smaller ids. Zero vectors have no distance and don't rank. `exclude`: columns of
     questions and chunks whose equal values don't pair.
 
     Chunks are dealt to blocks of about BLOCK rows, questions to blocks of their own; each pair of
-    blocks is one matrix product in a task, which keeps k rows a question. Nothing is broadcast."""
+    blocks is one matrix product in a task, which keeps k rows a question (or corpus of one). Nothing is broadcast."""
     n_blocks = max(1, -(-chunks.count() // BLOCK))
     q_blocks = max(1, -(-questions.count() // (8 * BLOCK)))
     deal = lambda c, n: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
@@ -56,6 +57,7 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, corpora: str |
             x = np.array(have.column("vector").to_pylist(), np.float64)
             norm = np.linalg.norm(x, axis=1)
             corpus, chunk, own = (np.array(have.column(c).to_pylist(), object) for c in ("corpus_id", "chunk_id", "own"))
+            ends = [*(np.flatnonzero(corpus[1:] != corpus[:-1]) + 1), len(corpus)] if by_corpus else [len(corpus)]
             for a in range(0, want.num_rows, ASKED):
                 part = want.slice(a, ASKED)
                 q = np.array(part.column("vector").to_pylist(), np.float64)
@@ -67,24 +69,26 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, corpora: str |
                         ok &= np.isin(corpus, only)
                     if mine is not None:
                         ok &= own != mine
-                    on = np.flatnonzero(ok)
-                    if len(on) > k:
-                        edge = np.partition(d[i, on], k - 1)[k - 1]
-                        on = on[d[i, on] <= edge]
-                    on = on[np.argsort(d[i, on], kind="stable")[:k]]
-                    out += [(qid, corpus[j], chunk[j], d[i, j]) for j in on]
+                    for first, end in zip([0, *ends], ends, strict=False):
+                        on = np.flatnonzero(ok[first:end]) + first
+                        if len(on) > k:
+                            edge = np.partition(d[i, on], k - 1)[k - 1]
+                            on = on[d[i, on] <= edge]
+                        on = on[np.argsort(d[i, on], kind="stable")[:k]]
+                        out += [(qid, corpus[j], chunk[j], d[i, j]) for j in on]
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         kinds = (pa.int64(), pa.string(), pa.string(), pa.float64())
         return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("question_id", *KEY, "distance"), columns, kinds, strict=True)})
 
     found = rows.unionByName(asked).groupBy("block", "qblock").applyInArrow(nearest, "question_id long, corpus_id string, chunk_id string, distance double")
-    return _ranked(found, ["question_id"], "distance", *KEY).where(F.col("rank") <= k).select("question_id", "rank", *KEY, "distance")
+    return _ranked(found, ["question_id", "corpus_id"] if by_corpus else ["question_id"], "distance", *KEY).where(F.col("rank") <= k).select("question_id", "rank", *KEY, "distance")
 
 
 def quota_topk(candidates: DataFrame, routed: DataFrame, k: int, dedup_key: Sequence[str] = KEY) -> DataFrame:
     """Per question ceil(k / corpora) candidates of each routed corpus, merged, deduped, cut to k by distance.
 
-    candidates: question_id, corpus_id, chunk_id, distance; routed: question_id, corpora in order. With
+    candidates: question_id, corpus_id, chunk_id, distance, the k nearest or more of each corpus
+    (vector_topk with by_corpus); routed: question_id, corpora in order. With
     dedup_key chunk_id alone, the corpus that comes first in the routing wins over the nearer one."""
     one = routed.select("question_id", F.size("corpora").alias("n"), F.posexplode("corpora").alias("place", "corpus_id"))
     found = _ranked(candidates.join(one, ["question_id", "corpus_id"]), ["question_id", "corpus_id"], "distance", "chunk_id").where(F.col("rank") <= F.ceil(F.lit(k) / F.col("n")))

@@ -41,7 +41,7 @@ def _routed(asked: DataFrame) -> DataFrame:
 
 def g2(spark, d):
     asked, chunks = _vectors(spark, d)
-    deep = retrieval.vector_topk(asked.drop("corpora"), chunks, 10_000, exclude=("self", "chunk_id"))
+    deep = retrieval.vector_topk(asked.drop("corpora"), chunks, 20, exclude=("self", "chunk_id"), by_corpus=True)
     return retrieval.quota_topk(deep, _routed(asked), 20).select("question_id", "rank", "corpus_id", "chunk_id")
 
 
@@ -52,7 +52,7 @@ G2 = _ALL + """, i AS (SELECT *, row_number() OVER (PARTITION BY question_id, co
 
 def g3(spark, d):
     asked, chunks = _vectors(spark, d)
-    deep = retrieval.vector_topk(asked.drop("corpora"), chunks, 10_000, exclude=("self", "chunk_id"))
+    deep = retrieval.vector_topk(asked.drop("corpora"), chunks, 50, exclude=("self", "chunk_id"), by_corpus=True)
     return retrieval.replay_depths(deep, _routed(asked)).groupBy("strategy", "k", "corpus_id").agg(F.count("*").alias("rows"), F.sum("rank").alias("ranks"))
 
 
