@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import curate, metrics, reports
+from ..operators import curate, metrics, reports, retrieval
 from .bindings import prefix, sql, table, view
 from .corpus_queries import NORMALIZED
 
@@ -178,13 +178,26 @@ I12 = _LOSS + """, ch AS (SELECT corpus_id, article_number, CAST(l_quantity * 40
  SELECT loss, signal, count(*) AS n FROM (SELECT loss, unnest(sg) AS signal FROM z) GROUP BY ALL"""
 
 
+def _holders(items, postings, df, articles):
+    """(question_id, corpus_id, chunk_id): articles whose text holds an item's text, met through the item's rarest inner term."""
+    n = F.size("tokens")
+    inner = F.when(n > 2, F.slice("tokens", F.lit(2), n - 2)).otherwise(F.col("tokens"))  # marks beside the passage may change its first and last term
+    total = df.groupBy("term").agg(F.sum("df").alias("df"))
+    rarest = items.select("question_id", F.explode(inner).alias("term")).join(total, "term").groupBy("question_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    met = rarest.join(postings.select("term", *retrieval.KEY), "term").join(items.select("question_id", "text"), "question_id").join(articles.select(*retrieval.KEY, "content"), list(retrieval.KEY))
+    return met.where(F.contains("content", "text")).select("question_id", *retrieval.KEY).distinct()
+
+
 def i13(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", text.lexical_tokens("text").alias("t"))
-    articles = docs.select(F.col("lang").alias("corpus_id"), F.concat(F.lit("L"), F.col("doc_id").cast("string"), F.lit("-"), (F.col("doc_id") % 3).cast("string")).alias("article_number"), F.col("t").alias("a_tokens"), "doc_id")
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), text.lexical_tokens("text").alias("q_tokens"))
-    ranks = articles.where("doc_id % 9 < 2").select((F.col("doc_id") % 40).alias("question_id"), (F.floor(F.col("doc_id") / 40) % 10 + 1).cast("int").alias("rank"), "corpus_id", "article_number")
-    absent = articles.where("doc_id % 9 = 5").select((F.col("doc_id") % 40).alias("question_id"), "corpus_id", "article_number")
-    return reports.lexical_diagnosis(absent, ranks, asked, articles.drop("doc_id"), ranks)
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("content"), text.lexical_tokens("text").alias("tokens"))
+    articles = docs.select(F.col("lang").alias("corpus_id"), F.concat(F.lit("L"), F.col("doc_id").cast("string"), F.lit("-"), (F.col("doc_id") % 3).cast("string")).alias("chunk_id"), "content", "tokens")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text", text.lexical_tokens("text").alias("tokens"))
+    index = retrieval.bm25_index(articles)
+    ranks = retrieval.bm25_topk(index, items.select("question_id", "tokens"), 50).withColumnRenamed("chunk_id", "article_number")
+    top = ranks.where("rank <= 10")
+    gold = _holders(items, *index[:2], articles).withColumnRenamed("chunk_id", "article_number")
+    absent = gold.join(top, _KEYS, "left_anti")
+    return reports.lexical_diagnosis(absent, top, items.select("question_id", F.col("tokens").alias("q_tokens")), articles.select("corpus_id", F.col("chunk_id").alias("article_number"), F.col("tokens").alias("a_tokens")), ranks)
 
 
 def i14(spark, d):
@@ -313,7 +326,7 @@ J7 = "SELECT lang AS corpus_id, source AS section, CAST(doc_id AS VARCHAR) AS ar
 
 
 def j8(spark, d):
-    return curate.topic_bundles(view(spark, d, "articles").where("corpus_id IN ('en', 'fr', 'es')"), {"license": ["license", "copyright"], "mail": ["@"]}, 40)
+    return curate.topic_bundles(view(spark, d, "articles"), {"license": ["license", "copyright"], "mail": ["@"]}, 40)
 
 
 J8 = """WITH h AS (SELECT topic, lang AS c, CAST(doc_id AS VARCHAR) AS a FROM documents, (VALUES ('license', ['license', 'copyright']), ('mail', ['@'])) t(topic, ks) WHERE lang IN ('en', 'fr', 'es') AND len([k FOR k IN ks IF contains(lower(text), k)]) > 0),
