@@ -253,11 +253,11 @@ def i18(spark, d):
 
 I18 = "SELECT o_orderkey, concat(o_orderkey, '/hybrid') AS cache_key FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 <> 0"
 
-# --- curation: first words of documents as questions
+# --- curation: documents as questions
 
 
 def _questions(spark, d):
-    q = table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.substring("text", 1, 160).alias("question"), F.concat("lang", F.lit("/"), (F.col("doc_id") % 3).cast("string")).alias("gold_key"))
+    q = table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"), F.concat("lang", F.lit("/"), (F.col("doc_id") % 3).cast("string")).alias("gold_key"))
     return q.withColumn("normalized", text.normalize_question("question"))
 
 

@@ -63,3 +63,42 @@ def test_topic_bundles_have_every_corpus(spark, tmp_path):
     write(spark, tmp_path, [(i, "a license", lang) for i, lang in enumerate(["de", "en", "fr", "es"])], [(0, "x")])
     got = {(r.corpus_a, r.corpus_b) for r in report_queries.j8(spark, str(tmp_path)).collect()}
     assert got == {("de", "en"), ("de", "es"), ("de", "fr"), ("en", "es"), ("en", "fr"), ("es", "fr")}
+
+
+def test_questions_are_whole_texts(spark, tmp_path):
+    rnd = random.Random(8)
+    opening = " ".join(f"open{i}" for i in range(40))  # over 160 characters
+    say = lambda k: [f"word{rnd.randrange(900)}" for _ in range(k)]
+    bodies = [say(80) for _ in range(12)]
+    docs = [(i, f"{opening} {' '.join(b)}") for i, b in enumerate(bodies)]
+    docs += [(20 + i, f"{opening} {' '.join(b[:-1])} changed{i}") for i, b in enumerate(bodies[:6])]  # near copies
+    docs += [(40 + i, f"other{i} words at the start {' '.join(b * 2)}") for i, b in enumerate(bodies[6:9])]
+    docs += [(60, docs[3][1]), (61, docs[3][1].upper())]
+    write(spark, tmp_path, [(i, t, "en") for i, t in docs])
+    text = {i: t.lower() for i, t in docs}
+    first = {t: min(i for i in text if text[i] == t) for t in text.values()}
+    want = {(first[t], i, 1.0) for i, t in text.items() if i != first[t]}
+    one = {}
+    for i, t in text.items():
+        one[t, i % 3] = min(i, one.get((t, i % 3), i))
+    sets = {i: ({w for w in t.split() if len(w) > 2}, g, t) for (t, g), i in one.items()}
+    for a, (x, g, t) in sets.items():
+        for b, (y, h, u) in sets.items():
+            s = len(x & y) / len(x | y)
+            if a < b and t != u and (s >= 0.92 or s >= 0.75 and g == h):
+                want.add((a, b, round(s, 6)))
+    got = [(r.a, r.b, r.similarity) for r in report_queries.j1(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 8
+    root = {i: i for i in text}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b, _ in want:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    sizes = Counter(find(i) for i in text)
+    assert {(r.component, r.members) for r in report_queries.j2(spark, str(tmp_path)).collect()} == {(c, n) for c, n in sizes.items() if n > 1}
+    assert {r.question_id for r in report_queries.j3(spark, str(tmp_path)).collect()} == set(first.values())
