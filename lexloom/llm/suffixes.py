@@ -220,7 +220,8 @@ class Known:
 
 
 def _class_key(part: np.ndarray, code: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """One 64-bit name of a class: 104 bits of anchor and context, mixed."""
+    """One 64-bit name of a class: part, 40 bits of the anchor and 40 of the context, mixed. Equal names are taken
+    for equal contexts; their bytes aren't compared."""
     return mix(mix(code * np.uint64(_ODD) + part) ^ context * np.uint64(_ODD2))
 
 
@@ -520,7 +521,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, crowded: int = CROW
 
     Documents are dealt once into groups of bounded size by a hash of the id; the passes share this
     shuffle. The first sends each group's classes, 12 bytes or so for every 17 of text, the second only
-    the contexts of classes beside others. Equal contexts are told by 104 hashed bits; strings of
+    the contexts of classes beside others. Equal contexts are told by 64 hashed bits and not verified; strings of
     different contexts by sorted suffixes and then their bytes. Anchors with over `crowded` classes, as
     the ends of a line that very many documents hold, have their strings told by 128 hashed bits
     instead and dealt by them, so that no task gets them all."""
