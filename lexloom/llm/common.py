@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -19,11 +20,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's spark.checkpoint.dir, or an own folder where that is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset and everything
+    runs on this machine, a temporary one of its own."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if known is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        known = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(known)
+    return known.rstrip("/")
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Make checkpoint() usable."""
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,13 +46,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of tables that no variable holds any more.
+def stored(df: DataFrame) -> DataFrame:
+    """The table, written as Parquet to the shared folder and read again, which cuts its lineage and takes less
+    disk than a checkpoint. The files are of no use once results are written."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def among(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Rows that may hold one of the keys: those whose key's hash begins like that of one of them.
 
-    It does so when the driver's garbage is collected, which may be long after a checkpoint; Python's
-    goes first, as tables hold themselves in cycles."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    At most 2 ** 20 beginnings are broadcast, however many keys there are; what passes by chance is left to the join
+    that follows, which then shuffles little where few rows hold a key."""
+    begins = F.shiftrightunsigned(F.xxhash64(*columns), 44)
+    known = keys.select(begins.alias("begins")).distinct()
+    return rows.withColumn("begins", begins).join(F.broadcast(known), "begins", "left_semi").drop("begins")
 
 
 def id_key(column: str = "doc_id") -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_key, release
+from .common import among, id_key, stored
 
 #: Shortest lines, in words, that are compared by edits (one edit of five words leaves a similarity of 0.8).
 MIN_WORDS = 5
@@ -22,29 +22,38 @@ def _place() -> Column:
     return F.struct("d", "h", "n")
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__d", id_key()).withColumn("__h", F.xxhash64("text"))
+def _lines(docs: DataFrame) -> DataFrame:
+    """(d, h, n, line) of every line that isn't blank."""
+    lines = docs.select(id_key().alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines.where(F.btrim("line", F.lit(" \t\r\f\v")) != "")
+
+
+def _hashes() -> list[Column]:
+    return [F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), F.col("line")).alias("b")]
+
+
+def _half(words: str) -> str:
+    """How many words of a line of so many make a half: a power of two, up to half of them."""
+    return f"shiftleft(1, length(bin({words})) - 2)"
 
 
 def _halves() -> Column:
     """Keys of the first and the last words of a line. Of two lines one word apart, the first p or the
     last p words are equal for each p up to half of the shorter one; p is a power of two, so that both
-    lines choose the same one, or one of two next to a power of two."""
-
-    p = "shiftleft(1, length(bin({n})) - 2)"
+    lines choose the same one, or one of two next to a power of two: then there are four keys."""
     out = []
     for n in ("w", "w - 1"):
-        size = p.format(n=n)
-        out += [f"xxhash64('first', {size}, substring_index(line, ' ', {size}))", f"xxhash64('last', {size}, substring_index(line, ' ', -({size})))"]
-    return F.expr(f"CASE WHEN w >= {MIN_WORDS} THEN array_distinct(array({', '.join(out)})) END")
+        size = _half(n)
+        new = "true" if n == "w" else f"{size} <> {_half('w')}"
+        out += [f"IF({new}, xxhash64('first', {size}, substring_index(line, ' ', {size})), NULL)", f"IF({new}, xxhash64('last', {size}, substring_index(line, ' ', -({size}))), NULL)"]
+    return F.expr(f"CASE WHEN w >= {MIN_WORDS} THEN array({', '.join(out)}) END")
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(d, h, n, a, b, w, halves) of every line that isn't blank: its place, two hashes, its words."""
-    lines = _tagged(docs).select(F.col("__d").alias("d"), F.col("__h").alias("h"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    lines = lines.where(F.trim(F.translate("line", "\t\r\f\v", "    ")) != "")
-    lines = lines.withColumn("w", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1)
-    return lines.select("d", "h", "n", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), F.col("line")).alias("b"), "w", _halves().alias("halves"))
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """(a, b, place, copies, w, halves): each line by two hashes, where it comes first, how often it comes, its words."""
+    lines = _lines(docs).withColumn("w", F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1)
+    lines = lines.select(*_hashes(), _place().alias("place"), "w", _halves().alias("halves"))
+    return lines.groupBy("a", "b").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.max("w").alias("w"), F.max("halves").alias("halves"))
 
 
 def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
@@ -58,42 +67,56 @@ def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], count: str, to
     return rows.join(hot, keys).unionByName(cold)
 
 
-def near_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(place, earlier): distinct lines (place, halves) that are one word from an earlier one."""
-    keyed = distinct.where("halves IS NOT NULL").select("place", F.explode("halves").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    lines = looked_up(keyed, shared, ["key"], "rows", keyed.count()).select("place").distinct()
-    asked = lines.groupBy(F.col("place.d").alias("__d"), F.col("place.h").alias("__h")).agg(F.collect_set("place.n").alias("asked"))
-    texts = _tagged(docs.select("doc_id", "text")).select("__d", "__h", "text").join(asked.hint("shuffle_hash"), ["__d", "__h"])
-    texts = texts.withColumn("lines", F.split("text", "\n"))
-    texts = texts.select(F.col("__d").alias("d"), F.col("__h").alias("h"), F.explode(F.transform("asked", lambda n: F.struct(n.alias("n"), F.element_at(F.col("lines"), n + 1).alias("line")))).alias("x")).select("d", "h", "x.n", "x.line").distinct()
-    words = texts.select(_place().alias("place"), F.split("line", " ").alias("words"))
-    words = words.withColumn("w", F.size("words")).where(F.col("w") >= MIN_WORDS)
-    words = cut(words)
-    release(docs.sparkSession)
+def candidates(distinct: DataFrame, total: int) -> DataFrame:
+    """(place, low, high): lines that share a half with another one, and the words that may differ: [low, high)."""
+    keyed = distinct.where("halves IS NOT NULL").select("place", "w", F.posexplode("halves").alias("i", "key")).where("key IS NOT NULL")
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
+    met = looked_up(among(keyed, shared, "key"), shared, ["key"], "rows", total)
+    size, first = F.expr(_half("IF(i < 2, w, w - 1)")), F.col("i") % 2 == 0
+    met = met.groupBy("place").agg(F.min(F.when(first, size).otherwise(0)).alias("low"), F.max(F.when(first, F.col("w")).otherwise(F.col("w") - size)).alias("high"))
+    return stored(met.select("place", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high")))
+
+
+def variants_of(lines: DataFrame) -> DataFrame:
+    """(place, kind, key): the lines (place, low, high, line) with a word open (O) or left out (D), and as they are (F)."""
+    words = lines.select("place", "low", "high", F.split("line", " ").alias("words")).withColumn("w", F.size("words"))
 
     # a line's hash is the exclusive or of its words' hashes with their places, so that a word can be taken out
     def folded(shift: int) -> Column:
         return F.aggregate(F.transform("words", lambda x, i: F.xxhash64(x, i - shift)), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
 
-    whole = words.select("place", "w", folded(0).alias("whole"), folded(1).alias("moved"), "words")
-    each = whole.select("place", "w", "whole", "moved", F.posexplode("words").alias("i", "word"))
+    whole = words.repartition("place").select("place", "low", "high", "w", folded(0).alias("whole"), folded(1).alias("moved"), "words")
+    each = whole.select("place", "low", "high", "w", "whole", "moved", F.posexplode("words").alias("i", "word"))
+    own, moved = F.xxhash64("word", "i"), F.xxhash64("word", F.col("i") - 1)
     upto = Window.partitionBy("place").orderBy("i")
-    each = each.withColumn("before", F.bit_xor(F.xxhash64("word", "i")).over(upto)).withColumn("after", F.col("moved").bitwiseXOR(F.bit_xor(F.xxhash64("word", F.col("i") - 1)).over(upto)))
-    own = F.xxhash64("word", "i")
+    each = each.withColumn("passed", F.bit_xor(own.bitwiseXOR(moved)).over(upto)).where("i >= low AND i < high")
     open_key = F.xxhash64(F.lit("open"), "w", "i", F.col("whole").bitwiseXOR(own))
-    less_key = F.xxhash64(F.lit("less"), F.col("w") - 1, F.col("before").bitwiseXOR(own).bitwiseXOR(F.col("after")))
-    variants = each.select("place", F.explode(F.array(F.struct(F.lit("O").alias("kind"), open_key.alias("key")), F.struct(F.lit("D").alias("kind"), less_key.alias("key")))).alias("v")).select("place", "v.kind", "v.key")
-    variants = variants.unionByName(whole.select("place", F.lit("F").alias("kind"), F.xxhash64(F.lit("less"), "w", "whole").alias("key")))
-    # lines that leave the same word open are one edit apart, as are a line and those that lose a word to become it:
-    # each meets the earliest of its kind of partner, so that a group of n gives at most n links
-    group = Window.partitionBy("key")
-    met = variants.select(
-        "place", "kind", F.min(F.when(F.col("kind") == "O", F.col("place"))).over(group).alias("o"), F.min(F.when(F.col("kind") == "D", F.col("place"))).over(group).alias("d"), F.min(F.when(F.col("kind") == "F", F.col("place"))).over(group).alias("f")
-    )
-    earlier = F.when(F.col("kind") == "O", F.col("o")).when(F.col("kind") == "D", F.col("f")).otherwise(F.col("d"))
-    links = met.select("place", earlier.alias("earlier")).where("earlier < place").distinct()
-    return _verified(links, words)
+    # the words before at their places, those behind one place nearer
+    less_key = F.xxhash64(F.lit("less"), F.col("w") - 1, F.col("passed").bitwiseXOR(own).bitwiseXOR(F.col("moved")))
+    own_key = F.xxhash64(F.lit("less"), "w", "whole")
+    made = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in (("O", open_key), ("D", less_key), ("F", F.when(F.col("i") == F.col("low"), own_key)))])
+    return each.select("place", F.explode(made).alias("v")).select("place", "v.kind", "v.key").where("key IS NOT NULL")
+
+
+def near_links(docs: DataFrame, distinct: DataFrame, total: int) -> DataFrame:
+    """(place, earlier): distinct lines that are one word from an earlier one.
+
+    Lines that leave the same word open are one edit apart, as are a line and those that lose a word to become it:
+    each meets the earliest of its kind of partner, so that a group of n gives at most n links. The earliest ones
+    are found first, and then joined to the lines whose keys come more than once."""
+    asked = candidates(distinct, total)
+    lines = among(_lines(docs).select(_place().alias("place"), "line"), asked, "place")
+    lines = stored(lines.join(asked, "place").dropDuplicates(["place"]))
+    variants = stored(variants_of(lines))
+    shared = stored(variants.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
+    count = variants.count()
+    met = stored(looked_up(among(variants, shared, "key"), shared, ["key"], "rows", count))
+    earliest = [F.min(F.when(F.col("kind") == k, F.col("place"))).alias(k) for k in "ODF"]
+    both = looked_up(met.drop("rows"), met.groupBy("key").agg(F.first("rows").alias("rows"), *earliest), ["key"], "rows", count)
+    earlier = F.when(F.col("kind") == "O", F.col("O")).when(F.col("kind") == "D", F.col("F")).otherwise(F.col("D"))
+    links = stored(both.select("place", earlier.alias("earlier")).where("earlier < place").distinct())
+    linked = links.select("place").unionByName(links.select(F.col("earlier").alias("place")))
+    return _verified(links, among(lines, linked, "place").select("place", F.split("line", " ").alias("words")))
 
 
 def _verified(links: DataFrame, words: DataFrame) -> DataFrame:
@@ -113,38 +136,43 @@ def _verified(links: DataFrame, words: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(d, h, exact, near): numbers of the lines to remove, for each document that has any."""
-    lines = cut(line_table(docs.select("doc_id", "text")))
-    total = lines.count()
-    found = lines.groupBy("a", "b").agg(F.min(_place()).alias("place"), F.count("*").alias("copies"), F.max("halves").alias("halves"))
-    found = cut(found)
-    release(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    found = stored(distinct_lines(docs))
+    total = found.agg(F.sum("copies")).first()[0] or 0
     repeated = found.where("copies > 1").select("a", "b", F.col("place").alias("first"), "copies")
-    exact = looked_up(lines.select("a", "b", "d", "h", "n"), repeated, ["a", "b"], "copies", total).where(_place() > F.col("first")).select("d", "h", "n", F.lit(True).alias("exact"))
-    near = near_links(docs, found.select("place", "halves")).select("place.d", "place.h", "place.n", F.lit(False).alias("exact")).distinct()
+    lines = stored(among(_lines(docs).select("d", "h", "n", *_hashes()), repeated, "a", "b"))
+    exact = looked_up(lines, repeated, ["a", "b"], "copies", total).where(_place() > F.col("first")).select("d", "h", "n", F.lit(True).alias("exact"))
+    near = near_links(docs, found, total).select("place.d", "place.h", "place.n", F.lit(False).alias("exact")).distinct()
     gone = exact.unionByName(near).groupBy("d", "h")
     return gone.agg(F.collect_set(F.when(F.col("exact"), F.col("n"))).alias("exact"), F.collect_set(F.when(~F.col("exact"), F.col("n"))).alias("near"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
     """`docs` with the lines removed from text, n_chars as the new length where there is such a column,
-    and n_lines, n_exact, n_near.
+    and, if asked for, n_lines, n_exact, n_near in place of any columns of these names.
 
     Lines are cut at newlines, words at single spaces. A line goes if an equal line comes earlier in the
     order of (doc_id, number), or if it has MIN_WORDS words or more and an earlier line, itself kept or
     not, is one inserted, removed or replaced word away and has as many. Blank lines stay. Rows that
     repeat id and text are one document's copies and are treated alike; of other rows that repeat an id
     an order by the text's hash decides. Null texts stay null with no lines; rows without an id come
-    first. Empty tables give an empty one. Columns of any other names stay as they are."""
-    gone = duplicate_lines(docs).select(F.col("d").alias("__gd"), F.col("h").alias("__gh"), F.col("exact").alias("__exact"), F.col("near").alias("__near"))
-    own = _tagged(docs)
-    out = own.join(gone.hint("shuffle_hash"), (own["__d"] == gone["__gd"]) & (own["__h"] == gone["__gh"]), "left")
-    out = out.withColumn("__lines", F.split("text", "\n"))
-    away = F.array_union("__exact", "__near")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), away)
-    out = out.withColumn("__kept", F.when(F.col("__exact").isNotNull(), kept))
-    out = out.withColumn("__text", F.array_join(F.transform("__kept", lambda i: F.get(F.col("__lines"), i)), "\n"))
-    same = F.col("__exact").isNull()
-    text = F.when(same, F.col("text")).otherwise(F.col("__text"))
-    counts = [F.coalesce(F.size("__lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__exact"), F.lit(0)).alias("n_exact"), F.coalesce(F.size("__near"), F.lit(0)).alias("n_near")]
-    columns = [text.alias("text") if c == "text" else F.when(same, F.col("n_chars")).otherwise(F.length("__text")).cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, *counts)
+    first. Empty tables give an empty one. Other columns, of any names, stay as they are."""
+    gone = duplicate_lines(docs)
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    own = docs.select(id_key().alias("d"), F.xxhash64("text").alias("h"), "text", F.struct(F.lit(0).alias("c"), *rest).alias("rest"))
+    out = own.join(gone.hint("shuffle_hash"), ["d", "h"], "left")
+    out = out.withColumn("lines", F.split("text", "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.array_union("exact", "near"))
+    out = out.withColumn("kept", F.when(F.col("exact").isNotNull(), kept))
+    out = out.withColumn("less", F.array_join(F.transform("kept", lambda i: F.get(F.col("lines"), i)), "\n"))
+    same = F.col("exact").isNull()
+    made = {"n_lines": F.coalesce(F.size("lines"), F.lit(0)), "n_exact": F.coalesce(F.size("exact"), F.lit(0)), "n_near": F.coalesce(F.size("near"), F.lit(0))} if counts else {}
+    columns = []
+    for i, c in enumerate(docs.columns):
+        if c == "text":
+            columns.append(F.when(same, F.col("text")).otherwise(F.col("less")).alias(c))
+        elif c == "n_chars":
+            columns.append(F.when(same, F.col(f"rest.c{i}")).otherwise(F.length("less")).cast("long").alias(c))
+        elif c not in made:
+            columns.append(F.col(f"rest.c{i}").alias(c))
+    return out.select(*columns, *[v.alias(k) for k, v in made.items()])
