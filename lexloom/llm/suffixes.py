@@ -24,6 +24,8 @@ WIDTH, GRAM = 50, 18
 CROWDED = 4096
 #: Bytes of text that are worked on together, and anchors that a task holds before it sends them.
 _BLOCK, HELD = 200_000, 500_000
+#: Bytes of text that one group of documents, and one part of the anchors, stands for.
+GROUP_BYTES, PART_BYTES = 4_000_000, 8_000_000
 _ODD, _ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _LOW40 = np.uint64((1 << 40) - 1)
 
@@ -196,7 +198,7 @@ def _classes(table: pa.Table, crowded: int) -> pa.Table:
 
 
 class Known:
-    """What a group has heard about its classes: sorted by anchor part and code, then context."""
+    """What a group has heard about its classes, sorted by a hash of their names."""
 
     def __init__(self, rows: list[dict]):
         sizes = [len(r["flag"]) for r in rows]
@@ -206,22 +208,22 @@ class Known:
         context = np.concatenate([empty, *[get40(r["clow"], r["chigh"]) for r in rows]])
         self.key = _class_key(part, code, context)
         order = np.argsort(self.key)
-        self.key = self.key[order]
+        self.key, self.part, self.code, self.context = self.key[order], part[order], code[order], context[order]
         self.least = np.concatenate([np.empty(0, np.int64), *[get_ids(r["ids"], n) for r, n in zip(rows, sizes, strict=True)]])[order]
         self.flag = np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(r["flag"], np.uint8) for r in rows]])[order]
 
     def find(self, code: np.ndarray, context: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences that are known, and their places here."""
-        key = _class_key(part_of(code, parts).astype(np.uint64), code & _LOW40, context)
+        part, low = part_of(code, parts).astype(np.uint64), code & _LOW40
+        key = _class_key(part, low, context)
         at = np.searchsorted(self.key, key)
         on = np.flatnonzero(at < len(self.key))
-        on = on[self.key[at[on]] == key[on]]
+        on = on[(self.code[at[on]] == low[on]) & (self.context[at[on]] == context[on]) & (self.part[at[on]] == part[on])]
         return on, at[on]
 
 
 def _class_key(part: np.ndarray, code: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """One 64-bit name of a class: part, 40 bits of the anchor and 40 of the context, mixed. Equal names are taken
-    for equal contexts; their bytes aren't compared."""
+    """One number for a class to be sorted and looked up by; what it is made of is compared then."""
     return mix(mix(code * np.uint64(_ODD) + part) ^ context * np.uint64(_ODD2))
 
 
@@ -439,11 +441,15 @@ def _removed(table: pa.Table, known: pa.Table, parts: int):
     heard = Known([r for r in rows if r["flag"] is not None])
     plain = [r for r in rows if r["flag"] is None and r["kind"] == 0]
     u8 = lambda part, k, kind="<u8": np.concatenate([np.empty(0, np.dtype(kind)), *[np.frombuffer(r[k], kind) for r in part]])
-    name = u8(plain, "code") ^ mix(u8(plain, "context").astype(np.uint64))
+    code, context, mask = (u8(plain, k) for k in ("code", "context", "mask"))
+    name = code ^ mix(context.copy())
     order = np.argsort(name)
-    name, mask = name[order], u8(plain, "mask")[order]
+    name, code, context, mask = name[order], code[order], context[order], mask[order]
     single = [r for r in rows if r["flag"] is None and r["kind"] == 1]
-    strings = np.unique(mix(u8(single, "code").copy()) ^ u8(single, "context") ^ mix(u8(single, "mask").copy()))
+    one, two, whose = (u8(single, k) for k in ("code", "context", "mask"))
+    strings = mix(one.copy()) ^ two ^ mix(whose.copy())
+    order = np.argsort(strings)
+    strings, one, two, whose = strings[order], one[order], two[order], whose[order]
     ids, texts = table.column("id").to_numpy(), table.column("data").to_pylist()
     for a, b in batches([len(t) for t in texts], _BLOCK):
         block = Block(texts[a:b])
@@ -459,7 +465,7 @@ def _removed(table: pa.Table, known: pa.Table, parts: int):
         if len(some) and len(name):
             wanted = x["code"][some] ^ mix(x["context"][some].copy())
             found = np.minimum(np.searchsorted(name, wanted), len(name) - 1)
-            hit = name[found] == wanted
+            hit = (code[found] == x["code"][some]) & (context[found] == x["context"][some])
             start, owner = _starts(x["first"][some[hit]], x["last"][some[hit]])
             bits = mask[found[hit]][owner] >> (start - x["first"][some[hit]][owner]).astype(np.uint64) & np.uint64(1)
             start = start[bits == 1]
@@ -468,9 +474,10 @@ def _removed(table: pa.Table, known: pa.Table, parts: int):
         some = on[~full & (heard.flag[at] == 2)]
         if len(some) and len(strings):
             start, owner = _starts(x["first"][some], x["last"][some])
-            wanted = mix(block.hashes(start, start + WIDTH)) ^ block.second_hashes(start, start + WIDTH) ^ mix(ids[a:b][x["doc"][some]][owner].astype(np.uint64))
+            own = block.hashes(start, start + WIDTH), block.second_hashes(start, start + WIDTH), ids[a:b][x["doc"][some]][owner].astype(np.uint64)
+            wanted = mix(own[0].copy()) ^ own[1] ^ mix(own[2].copy())
             found = np.minimum(np.searchsorted(strings, wanted), len(strings) - 1)
-            start = start[strings[found] == wanted]
+            start = start[(one[found] == own[0]) & (two[found] == own[1]) & (whose[found] == own[2])]
             np.add.at(change, start, 1)
             np.add.at(change, start + WIDTH, -1)
         yield block, a, b, np.cumsum(change[:-1]) > 0
@@ -502,11 +509,19 @@ def with_kept_text(docs: DataFrame) -> DataFrame:
 
     Rows are found again by id and the text's hash. Null texts stay null."""
     kept = remove_repeats(docs, with_text=True)
-    cut = kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("text_hash").alias("__h"), F.col("kept").alias("__kept")).where("__kept IS NOT NULL").dropDuplicates(["__id", "__h"])
-    own = docs.withColumn("__key", id_key()).withColumn("__hash", F.xxhash64("text"))
-    out = own.join(cut, (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
-    new = {"text": F.coalesce("__kept", "text"), "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept")).cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    cut = kept.where("kept IS NOT NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("hash"), "kept").dropDuplicates(["id", "hash"])
+    rest = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])
+    own = docs.select(id_key().alias("id"), F.xxhash64("text").alias("hash"), "text", rest.alias("rest"))
+    out = own.join(cut, ["id", "hash"], "left")
+    columns = []
+    for i, c in enumerate(docs.columns):
+        if c == "text":
+            columns.append(F.coalesce("kept", "text").alias(c))
+        elif c == "n_chars":
+            columns.append(F.when(F.col("kept").isNull(), F.col(f"rest.c{i}")).otherwise(F.length("kept")).cast("long").alias(c))
+        else:
+            columns.append(F.col(f"rest.c{i}").alias(c))
+    return out.select(*columns)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, crowded: int = CROWDED) -> DataFrame:
@@ -519,15 +534,22 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, crowded: int = CROW
     id. The kept text leaves out characters that were cut in part. Further columns are left out; an
     empty table gives an empty one.
 
-    Documents are dealt once into groups of bounded size by a hash of the id; the passes share this
-    shuffle. The first sends each group's classes, 12 bytes or so for every 17 of text, the second only
-    the contexts of classes beside others. Equal contexts are told by 64 hashed bits and not verified; strings of
-    different contexts by sorted suffixes and then their bytes. Anchors with over `crowded` classes, as
-    the ends of a line that very many documents hold, have their strings told by 128 hashed bits
-    instead and dealt by them, so that no task gets them all."""
+    Documents are dealt once, by a hash of the id, into groups of about GROUP_BYTES (a longer document is a group of
+    its own size); anchors are dealt into parts. How many there are follows from the size of the texts, not from
+    the number of partitions: what a group has for a part is packed into one row, and there are never more packs than
+    anchors. The passes share the shuffle of the texts. The first sends each group's classes, 12 bytes or so for every
+    17 of text, the second only the contexts of classes beside others.
+
+    Equal contexts are told by 80 hashed bits (40 of the context, 40 of its anchor) beside the part, and their bytes
+    aren't compared, as that would move most of the text twice: at 100 TB, with some 10 ** 6 classes in each of 10 ** 7
+    parts, one false pair is expected with a probability of about 10 ** -5. Strings of different contexts are told
+    by sorted suffixes and then their bytes. Anchors with over `crowded` classes, as the ends of a line that very
+    many documents hold, have their strings told by 128 hashed bits and the id instead and dealt by them, so that no
+    task gets them all."""
     spark = docs.sparkSession
     tasks = shuffle_partitions(spark)
-    groups, parts = 4 * tasks, tasks
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups, parts = size // GROUP_BYTES + 1, size // PART_BYTES + 1
     texts = _grouped(docs, groups, tasks)
 
     def seen(it):
