@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+from ..sources.shared import checkpointed
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,7 +16,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     many rows as there are edges and is cut from its lineage by a checkpoint. The number of rounds
     grows with the logarithm of the longest chain. Edges with a null end and loops are left out."""
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    links = _checkpointed(links)
+    links = checkpointed(links)
     before = None
     while True:
         # large star: every neighbour above a node joins the smallest of the node and its neighbours
@@ -33,7 +26,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: a node's smaller neighbours, and itself, join the smallest of them
         least = links.groupBy("u").agg(F.min("v").alias("m"))
         links = links.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        links = _checkpointed(links)
+        links = checkpointed(links)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before or not now[0]:
             break

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,19 +54,33 @@ def build_context(kept: DataFrame) -> DataFrame:
     return out.select("question_id", F.array_join(F.transform("rows", lambda r: r["block"]), "\n\n").alias("context"), F.transform("rows", lambda r: F.struct(r["source_id"].alias("source_id"), *[r[c].alias(c) for c in (*KEY, "article_number")])).alias("sources"))
 
 
-def answer_contexts(questions: DataFrame, chunks: DataFrame, scores: DataFrame, strategy: str = "vector", k: int = 20, n: int = 5, threshold: float = 0.4, index=None) -> DataFrame:
+def answer_contexts(
+    questions: DataFrame, chunks: DataFrame, scores: DataFrame | Callable[[DataFrame], DataFrame], strategy: str = "vector", k: int = 20, n: int = 5, threshold: float = 0.4, index=None, depth: int = 50
+) -> DataFrame:
     """(question_id, decision, context, sources, answer) of every question.
 
-    questions: question_id, vector, predicted (corpora) and, for the hybrid strategy, tokens; chunks:
-    corpus_id, chunk_id, article_number, chunk_index, content, vector. Only ids, ranks and scores go
-    through the plan; texts join last. Questions without a corpus abstain and aren't searched."""
-    decided = questions.withColumn("d", routing_decision("predicted")).select("*", F.col("d.decision").alias("decision"), F.col("d.corpora").alias("corpora")).drop("d")
-    asked = decided.where("decision <> 'abstain'")
-    deep = vector_topk(asked, chunks, k, corpora="corpora", by_corpus=True)
-    found = quota_topk(deep, asked.select("question_id", "corpora"), k)
+    questions: question_id, vector, predicted (corpora), optionally explicit (corpora that overrule the predicted
+    ones; an empty list searches all) and, for the hybrid strategy, tokens; chunks: corpus_id, chunk_id,
+    article_number, chunk_index, content, vector. scores: (question_id, corpus_id, chunk_id, rerank_score), or a
+    function that makes them of the candidates.
+
+    Routed questions search each of their corpora to its own quota of k (hybrid: of `depth`, beside as many hits by
+    words), global ones all corpora together. Only ids, ranks and scores go through the plan; texts join
+    last. Questions without a corpus abstain and aren't searched."""
+    explicit = "explicit" if "explicit" in questions.columns else None
+    decided = questions.withColumn("d", routing_decision("predicted", explicit)).select("*", F.col("d.decision").alias("decision"), F.col("d.corpora").alias("corpora")).drop("d")
+    asked = decided.where("decision <> 'abstain'").withColumn("corpora", F.when(F.col("decision") == "routed", F.col("corpora")))
+    far = depth if strategy == "hybrid" else k
+    deep = vector_topk(asked, chunks, far, corpora="corpora", by_corpus=True)
+    routed = asked.where("decision = 'routed'").select("question_id", "corpora")
+    everywhere = deep.join(asked.where("decision = 'global'").select("question_id"), "question_id", "left_semi")
+    everywhere = everywhere.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("distance", *KEY))).where(F.col("rank") <= far)
+    found = quota_topk(deep, routed, far).unionByName(everywhere)
     if strategy == "hybrid":
-        lexical = bm25_topk(index, asked.select("question_id", "tokens", "corpora"), k)
-        found = hybrid_union(found, lexical, depth=k).drop("source")
+        lexical = bm25_topk(index, asked.select("question_id", "tokens", "corpora"), far)
+        found = hybrid_union(found, lexical, depth=far).drop("source")
+    if callable(scores):
+        scores = scores(found)
     reranked = apply_rerank(found, scores, n).join(asked.select("question_id", F.col("corpora").alias("routed")), "question_id")
     kept = context_filter(reranked, threshold)
     texts = kept.join(chunks.select(*KEY, "article_number", "chunk_index", "content"), list(KEY))

@@ -6,9 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 KEY = ("corpus_id", "chunk_id")
 #: Rows of a unit of work of the block product, about, and questions that it takes at once.
 BLOCK, ASKED = 16_384, 1024
@@ -27,6 +30,12 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
     return F.when((norms[0] > 0) & (norms[1] > 0), 1 - dot / (norms[0] * norms[1]))
 
 
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Equally long vectors as rows, without a Python object for each number."""
+    flat = pc.list_flatten(vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors)
+    return np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), -1)
+
+
 def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, corpora: str | None = None, exclude: tuple[str, str] | None = None, by_corpus: bool = False) -> DataFrame:
     """(question_id, rank, corpus_id, chunk_id, distance): the k nearest chunks of each question; with
     `by_corpus` the k nearest of each corpus for each question, ranked within it.
@@ -54,13 +63,13 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, corpora: str |
         have, want = table.filter(pa.array(~is_q)), table.filter(pa.array(is_q))
         if have.num_rows and want.num_rows:
             have = have.sort_by([("corpus_id", "ascending"), ("chunk_id", "ascending")])
-            x = np.array(have.column("vector").to_pylist(), np.float64)
+            x = matrix(have.column("vector"))
             norm = np.linalg.norm(x, axis=1)
             corpus, chunk, own = (np.array(have.column(c).to_pylist(), object) for c in ("corpus_id", "chunk_id", "own"))
             ends = [*(np.flatnonzero(corpus[1:] != corpus[:-1]) + 1), len(corpus)] if by_corpus else [len(corpus)]
             for a in range(0, want.num_rows, ASKED):
                 part = want.slice(a, ASKED)
-                q = np.array(part.column("vector").to_pylist(), np.float64)
+                q = matrix(part.column("vector"))
                 with np.errstate(invalid="ignore", divide="ignore"):
                     d = 1 - (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * norm[None, :])
                 for i, (qid, only, mine) in enumerate(zip(*(part.column(c).to_pylist() for c in ("question_id", "corpora", "own")), strict=True)):
@@ -115,12 +124,16 @@ def replay_depths(deep: DataFrame, routed: DataFrame, ks: Sequence[int] = (20, 3
 
 
 def bm25_index(chunks: DataFrame, tokens: str = "tokens") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, df, stats): term counts and lengths, document counts of terms, sizes of corpora."""
+    """(postings, df, stats): term counts and lengths, document counts of terms, sizes of corpora.
+
+    Texts are cut into tokens once, for the postings, which are stored; all else comes from them. A chunk without
+    tokens counts as one of its corpus."""
     sized = chunks.select("corpus_id", "chunk_id", F.size(tokens).alias("len"), tokens)
-    postings = sized.select(*KEY, "len", F.explode(tokens).alias("term")).groupBy(*KEY, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    postings = stored(sized.select(*KEY, "len", F.explode(tokens).alias("term")).groupBy(*KEY, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
     df = postings.groupBy("corpus_id", "term").agg(F.count("*").alias("df"))
-    stats = sized.groupBy("corpus_id").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    return postings, df, stats
+    length = postings.groupBy("corpus_id").agg(F.sum("tf").alias("length"))
+    stats = chunks.groupBy("corpus_id").agg(F.count("*").alias("docs")).join(length, "corpus_id", "left")
+    return postings, df, stats.select("corpus_id", "docs", (F.coalesce("length", F.lit(0)) / F.col("docs")).alias("avg_len"))
 
 
 def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -129,8 +142,9 @@ def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFram
     queries: question_id, tokens and, optionally, corpora to search. The terms asked for cut the
     postings before anything is summed."""
     postings, df, stats = index
-    asked = queries.select("question_id", F.explode("tokens").alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = postings.join(asked.select("term").distinct(), "term", "left_semi").join(df, ["corpus_id", "term"]).join(F.broadcast(stats), "corpus_id")
+    asked = stored(queries.select("question_id", F.explode("tokens").alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qtf")))
+    terms = asked.select("term").distinct()
+    wanted = postings.join(terms, "term", "left_semi").join(df.join(terms, "term", "left_semi"), ["corpus_id", "term"]).join(F.broadcast(stats), "corpus_id")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1.0))
     weighted = wanted.select(*KEY, "term", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))

@@ -21,7 +21,7 @@ def tokens_sql(column: str) -> str:
 def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
     chunks = e.select(F.concat(F.lit("c"), (F.col("label") % 4).cast("string")).alias("corpus_id"), F.col("vec_id").cast("string").alias("chunk_id"), "vector", "label")
-    asked = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("question_id"), "vector", F.when(F.col("vec_id") % 2 == 0, F.array(F.lit("c0"), F.lit("c2"))).alias("corpora"), F.col("vec_id").cast("string").alias("self"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "vector", F.when(F.col("vec_id") % 40 == 0, F.array(F.lit("c0"), F.lit("c2"))).alias("corpora"), F.col("vec_id").cast("string").alias("self"))
     return asked, chunks
 
 
@@ -31,7 +31,7 @@ def g1(spark, d):
 
 
 _DIST = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, concat('c', CAST(label % 4 AS VARCHAR)) AS corpus_id FROM embeddings),
- s AS (SELECT q.vec_id AS question_id, c.corpus_id, CAST(c.vec_id AS VARCHAR) AS chunk_id, 1 - list_cosine_similarity(q.v, c.v) AS d FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 25 = 0 AND (q.vec_id % 2 = 1 OR c.corpus_id IN ('c0', 'c2')))"""
+ s AS (SELECT q.vec_id AS question_id, c.corpus_id, CAST(c.vec_id AS VARCHAR) AS chunk_id, 1 - list_cosine_similarity(q.v, c.v) AS d FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 AND (q.vec_id % 40 = 20 OR c.corpus_id IN ('c0', 'c2')))"""
 G1 = _DIST + " SELECT question_id, rank, corpus_id, chunk_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, corpus_id, chunk_id) AS rank FROM s) WHERE rank <= 10"
 
 
@@ -45,7 +45,7 @@ def g2(spark, d):
     return retrieval.quota_topk(deep, _routed(asked), 20).select("question_id", "rank", "corpus_id", "chunk_id")
 
 
-_ALL = _DIST.replace(" AND (q.vec_id % 2 = 1 OR c.corpus_id IN ('c0', 'c2'))", "") + ", r AS (SELECT *, CASE WHEN question_id % 2 = 0 THEN 2 ELSE 3 END AS parts FROM s WHERE CASE WHEN question_id % 2 = 0 THEN corpus_id IN ('c0', 'c2') ELSE corpus_id IN ('c0', 'c1', 'c3') END)"
+_ALL = _DIST.replace(" AND (q.vec_id % 40 = 20 OR c.corpus_id IN ('c0', 'c2'))", "") + ", r AS (SELECT *, CASE WHEN question_id % 40 = 0 THEN 2 ELSE 3 END AS parts FROM s WHERE CASE WHEN question_id % 40 = 0 THEN corpus_id IN ('c0', 'c2') ELSE corpus_id IN ('c0', 'c1', 'c3') END)"
 G2 = _ALL + """, i AS (SELECT *, row_number() OVER (PARTITION BY question_id, corpus_id ORDER BY d, chunk_id) AS n FROM r)
  SELECT question_id, rank, corpus_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, corpus_id, chunk_id) AS rank FROM i WHERE n <= ceil(20.0 / parts)) WHERE rank <= 20"""
 
@@ -181,11 +181,34 @@ G12 = _AUDIT + """, o AS (SELECT *, row_number() OVER (PARTITION BY question_id
 
 def g13(spark, d):
     asked, chunks = _vectors(spark, d)
-    asked = asked.select("question_id", "vector", F.when(F.col("question_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.coalesce("corpora", F.array(F.lit("c1")))).alias("predicted"))
+    n = F.floor(F.col("question_id") / 20)
+    none = F.array().cast("array<string>")
+    asked = asked.select("question_id", "vector", F.when(n % 3 == 0, none).otherwise(F.coalesce("corpora", F.array(F.lit("c1")))).alias("predicted"), F.when(n % 7 == 0, none).when(n % 7 == 1, F.array(F.lit("c3"), F.lit("c1"))).alias("explicit"))
     texts = chunks.select("corpus_id", "chunk_id", F.col("chunk_id").alias("article_number"), F.lit(0).alias("chunk_index"), F.concat(F.lit("vector "), F.col("chunk_id")).alias("content"), "vector")
-    scores = asked.select("question_id").join(texts.select("corpus_id", "chunk_id"), F.lit(True)).where("(question_id + cast(chunk_id AS int)) % 2 = 0").withColumn("rerank_score", F.pmod(F.col("question_id") * 31 + F.col("chunk_id").cast("int") * 17, F.lit(100)) / 100.0)
+
+    def scores(found: DataFrame) -> DataFrame:
+        some = found.where("(question_id div 20 + cast(chunk_id AS bigint)) % 5 <> 0")
+        return some.select("question_id", "corpus_id", "chunk_id", (F.pmod(F.col("question_id") * 31 + F.col("chunk_id").cast("long") * 17, F.lit(100)) / 100.0).alias("rerank_score"))
+
     out = context.answer_contexts(asked, texts, scores)
-    return out.select("question_id", "decision", "context", F.size("sources").alias("sources"), "answer")
+    return out.select("question_id", "decision", F.md5("context").alias("context_md5"), F.size("sources").alias("sources"), "answer")
+
+
+G13 = f"""WITH e AS (SELECT vec_id, vec_id // 20 AS t, CAST(embedding AS DOUBLE[]) AS v, concat('c', CAST(label % 4 AS VARCHAR)) AS corpus_id FROM embeddings),
+ q AS (SELECT vec_id AS question_id, t, v, CASE WHEN t % 7 = 0 THEN 'global' WHEN t % 7 = 1 THEN 'routed' WHEN t % 3 = 0 THEN 'abstain' ELSE 'routed' END AS decision,
+  CASE WHEN t % 7 = 0 THEN NULL WHEN t % 7 = 1 THEN ['c3', 'c1'] WHEN t % 3 = 0 THEN NULL WHEN t % 2 = 0 THEN ['c0', 'c2'] ELSE ['c1'] END AS corpora FROM e WHERE vec_id % 20 = 0),
+ s AS (SELECT q.*, e.corpus_id, e.vec_id, CAST(e.vec_id AS VARCHAR) AS chunk_id, 1 - list_cosine_similarity(q.v, e.v) AS d FROM q JOIN e ON q.decision = 'global' OR list_contains(q.corpora, e.corpus_id)),
+ i AS (SELECT *, row_number() OVER (PARTITION BY question_id, corpus_id ORDER BY d, chunk_id) AS n FROM s),
+ f AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, corpus_id, chunk_id) AS old FROM i WHERE n <= ceil(20.0 / coalesce(len(corpora), 1))),
+ c AS (SELECT *, CASE WHEN (t + vec_id) % 5 <> 0 THEN (question_id * 31 + vec_id * 17) % 100 / 100.0 END AS x FROM f WHERE old <= 20),
+ w AS (SELECT *, count(x) OVER (PARTITION BY question_id) = 0 OR count(*) OVER (PARTITION BY question_id) < 5 AS plain FROM c),
+ r AS (SELECT question_id, corpora, corpus_id, chunk_id, CASE WHEN NOT plain THEN x END AS x, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN NOT plain THEN x END DESC NULLS LAST, old, corpus_id, chunk_id) AS rank FROM w WHERE plain OR x IS NOT NULL),
+ a AS (SELECT *, coalesce(x, 0) AS score, max(CASE WHEN rank = 1 THEN coalesce(x, 0) END) OVER (PARTITION BY question_id) AS best FROM r WHERE rank <= 5),
+ k AS (SELECT *, rank = 1 OR best > 0 AND score / best >= 0.4 AS kept FROM a),
+ m AS (SELECT *, max(kept) OVER (PARTITION BY question_id, corpus_id) AS any_kept, row_number() OVER (PARTITION BY question_id, corpus_id ORDER BY score DESC, rank) AS place FROM k),
+ o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS source_id FROM m WHERE kept OR len(corpora) > 1 AND NOT any_kept AND place = 1),
+ b AS (SELECT question_id, md5(string_agg(concat('[Source ', source_id, ' — ', corpus_id, ' — Article ', chunk_id, ' — chunk 0]', chr(10), 'vector ', chunk_id), concat(chr(10), chr(10)) ORDER BY source_id)) AS context_md5, CAST(count(*) AS INTEGER) AS sources FROM o GROUP BY question_id)
+ SELECT q.question_id, q.decision, b.context_md5, b.sources, CASE WHEN q.decision = 'abstain' THEN '{context.ABSTAINED}' END AS answer FROM q LEFT JOIN b USING (question_id)"""
 
 
 def _first(spark, d):
@@ -374,7 +397,7 @@ H17 = sql("""SELECT variant, count(*) AS answers, round(avg(correctness), 6) AS
 
 QUERIES = {
     "g1_vector_topk": (g1, G1), "g2_quota_topk": (g2, G2), "g3_replay_depths": (g3, G3), "g4_bm25_index": (g4, G4), "g5_bm25_topk": (g5, G5), "g6_hybrid_union": (g6, G6), "g7_rrf": (g7, G7), "g8_rank_chunks": (g8, G8),
-    "g9_apply_rerank": (g9, G9), "g10_context_filter": (g10, G10), "g11_filter_audit": (g11, G11), "g12_build_context": (g12, G12), "g13_answer_contexts": (g13, None), "g14_neighbor_window": (g14, G14),
+    "g9_apply_rerank": (g9, G9), "g10_context_filter": (g10, G10), "g11_filter_audit": (g11, G11), "g12_build_context": (g12, G12), "g13_answer_contexts": (g13, G13), "g14_neighbor_window": (g14, G14),
     "h1_dedupe_articles": (h1, H1), "h2_first_gold_rank": (_first, H2), "h3_recall_any": (h3, H3), "h4_retrieval_snapshot": (h4, H4), "h5_coverage": (h5, H5), "h6_depth_curve": (h6, H6), "h6_marginal_gains": (h6b, H6B), "h7_gold_depth": (h7, H7),
     "h8_gold_contribution": (h8, H8), "h9_variant_summary": (h9, H9), "h10_stage_funnel": (h10, H10), "h11_rerank_effect": (h11, H11), "h12_strategy_balance": (h12, H12), "h13_threshold_grid": (h13, H13), "h14_corpus_loss_class": (h14, H14),
     "h15_score_gaps": (h15, H15), "h16_threshold_sensitivity": (h16, H16), "h17_variant_report": (h17, H17),

@@ -39,8 +39,31 @@ def test_registered_depths_hold_beyond_ten_thousand_vectors(spark, tmp_path):
     rnd = np.random.default_rng(1).permutation(len(rows)).tolist()
     table = [(v, rows[j][1], rows[j][2]) for v, j in enumerate(rnd)]
     keep = {v: c for v, c, _ in table}
-    few = {v for v in keep if v % 25 == 0 and v < 100}
-    spark.createDataFrame([(v if v in few or v % 25 else v + 10**6 + 1, c, x) for v, c, x in table], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = retrieval_queries.g2(spark, str(tmp_path)).where("question_id IN (0, 25, 50, 75)").groupBy("question_id", "corpus_id").count().collect()
-    routes = {0: ("c0", "c2"), 25: ("c0", "c1", "c3"), 50: ("c0", "c2"), 75: ("c0", "c1", "c3")}
+    few = {v for v in keep if v % 20 == 0 and v < 80}
+    spark.createDataFrame([(v if v in few or v % 20 else v + 10**6 + 1, c, x) for v, c, x in table], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = retrieval_queries.g2(spark, str(tmp_path)).where("question_id IN (0, 20, 40, 60)").groupBy("question_id", "corpus_id").count().collect()
+    routes = {0: ("c0", "c2"), 20: ("c0", "c1", "c3"), 40: ("c0", "c2"), 60: ("c0", "c1", "c3")}
     assert {(r.question_id, r.corpus_id) for r in got} == {(q, c) for q, cs in routes.items() for c in cs}
+
+
+def test_explicit_corpora_overrule_and_none_searches_all(spark):
+    asked, chunks = crowded(spark)
+    asked = asked.drop("predicted").selectExpr("explode(array(1L, 2L, 3L, 4L)) AS question_id", "vector").selectExpr("question_id", "vector", "IF(question_id = 4, array(), array('a')) AS predicted", "CASE question_id WHEN 2 THEN array() WHEN 3 THEN array('b') END AS explicit")
+    asked = asked.withColumn("predicted", F.col("predicted").cast("array<string>")).withColumn("explicit", F.col("explicit").cast("array<string>"))
+    equal = lambda found: found.select("question_id", "corpus_id", "chunk_id", F.when(F.col("corpus_id") == "b", 1.0).otherwise(0.9).alias("rerank_score"))
+    got = {r.question_id: (r.decision, {s.corpus_id for s in r.sources or []}) for r in context.answer_contexts(asked, chunks, equal).collect()}
+    assert got == {1: ("routed", {"a"}), 2: ("global", {"a"}), 3: ("routed", {"b"}), 4: ("abstain", set())}
+
+
+def test_hybrid_depths_are_fifty_and_fifty(spark):
+    asked, chunks = crowded(spark)
+    seen = []
+
+    def scores(found):
+        seen.append(found.groupBy("corpus_id").count().collect())
+        return found.select("question_id", "corpus_id", "chunk_id", F.lit(0.5).alias("rerank_score"))
+
+    index = retrieval.bm25_index(chunks.withColumn("tokens", F.array("content")))
+    asked = asked.withColumn("tokens", F.array(F.lit("y"))).withColumn("predicted", F.array(F.lit("a")))
+    context.answer_contexts(asked.withColumn("explicit", F.array().cast("array<string>")), chunks, scores, strategy="hybrid", index=index)
+    assert {r.corpus_id: r["count"] for r in seen[0]} == {"a": 50, "b": 12}
