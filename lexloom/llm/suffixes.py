@@ -13,11 +13,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
-from .common import NO_ID, batches, id_key, mix, powers, shuffle_partitions, utf8
+from .common import batches, id_key, mix, powers, shuffle_partitions, utf8
 
 WIDTH, GRAM = 50, 18
 #: Anchors with more classes than this have their strings sent one by one, under their own hashes.
@@ -119,14 +119,10 @@ _SEEN = "p int, q int, low binary, high binary, clow binary, chigh binary, ids b
 _CLASSES = "q int, low binary, high binary, top binary, clow binary, chigh binary, ids binary, flag binary"
 _SENT = "p int, q int, kind int, code binary, context binary, ids binary, at binary, run binary, data binary"
 _MASKS = "q int, kind int, code binary, context binary, mask binary"
-_TEXT = ", text_hash long, kept string"
+_KEPT = ", kept binary"
 _RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _first_of_equal(*keys: np.ndarray) -> np.ndarray:
     """Places where sorted rows differ from the row before, the first included."""
     n = len(keys[0])
@@ -483,9 +479,8 @@ def _removed(table: pa.Table, known: pa.Table, parts: int):
         yield block, a, b, np.cumsum(change[:-1]) > 0
 
 
-def _finish(table: pa.Table, known: pa.Table, parts: int, with_text: bool) -> pa.Table:
-    ids, out = table.column("id").to_pylist(), []
-    hashes = [signed(xxhash.xxh64_intdigest(t, seed=42)) for t in table.column("data").to_pylist()] if with_text else []
+def _finish(table: pa.Table, known: pa.Table, parts: int, with_rows: bool) -> pa.Table:
+    ids, data, out = table.column("id").to_pylist(), table.column("data").to_pylist(), []
     for block, a, b, gone in _removed(table, known, parts):
         begin = block.end - block.length
         rises = gone & ~np.concatenate(([False], gone[:-1])) if len(gone) else gone
@@ -493,46 +488,45 @@ def _finish(table: pa.Table, known: pa.Table, parts: int, with_text: bool) -> pa
             own = slice(begin[i], block.end[i])
             cut, n = gone[own], int(block.length[i])
             spans = int(rises[own].sum()) + int(n > 0 and cut[0] and not rises[begin[i]])
-            kept = block.data[own][~cut].tobytes()
+            kept = block.data[own][~cut].tobytes() if spans else data[a + i]
             row = (ids[a + i], n, int(cut.sum()), spans, hashlib.sha256(kept).hexdigest())
-            out.append((*row, hashes[a + i], kept.decode(errors="ignore") if row[2] else None) if with_text else row)
-    return _rows(out, _schema(_RESULT + _TEXT * with_text))
+            # characters that were cut in part go
+            out.append((*row, kept.decode(errors="ignore").encode() if spans else kept) if with_rows else row)
+    done = _rows(out, _schema(_RESULT + _KEPT * with_rows))
+    return done.append_column("rest", table.column("rest")) if with_rows else done
 
 
-def _grouped(docs: DataFrame, groups: int, tasks: int) -> DataFrame:
-    rows = docs.select(id_key().alias("id"), utf8().alias("data"))
-    return rows.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("q"), "id", "data").repartition(tasks, "q")
+def _grouped(docs: DataFrame, groups: int, tasks: int, *rest: Column) -> DataFrame:
+    rows = docs.select(id_key().alias("id"), utf8().alias("data"), *rest)
+    return rows.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("q"), *rows.columns).repartition(tasks, "q")
 
 
 def with_kept_text(docs: DataFrame) -> DataFrame:
     """`docs` with their kept texts, and n_chars as the new length where there is such a column.
 
-    Rows are found again by id and the text's hash. Null texts stay null."""
-    kept = remove_repeats(docs, with_text=True)
-    cut = kept.where("kept IS NOT NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("hash"), "kept").dropDuplicates(["id", "hash"])
-    rest = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])
-    own = docs.select(id_key().alias("id"), F.xxhash64("text").alias("hash"), "text", rest.alias("rest"))
-    out = own.join(cut, ["id", "hash"], "left")
+    Other columns, of any names, travel with the texts. Null texts stay null."""
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    rest = F.struct(F.col("text").isNull().alias("none"), *fields)
+    out = _results(docs, CROWDED, rest.alias("rest"))
+    kept = F.when(~F.col("rest.none"), F.col("kept").cast("string"))
     columns = []
     for i, c in enumerate(docs.columns):
         if c == "text":
-            columns.append(F.coalesce("kept", "text").alias(c))
+            columns.append(kept.alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("kept").isNull(), F.col(f"rest.c{i}")).otherwise(F.length("kept")).cast("long").alias(c))
+            columns.append(F.when(F.col("n_removed") == 0, F.col(f"rest.c{i}")).otherwise(F.length(kept)).cast("long").alias(c))
         else:
             columns.append(F.col(f"rest.c{i}").alias(c))
     return out.select(*columns)
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; if asked for, also the XXH64 of
-    its text as Spark has it, and its kept text where something was removed.
+def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
     Texts are UTF-8 bytes. A byte goes if one of the WIDTH-byte strings over it also starts in a
     document of smaller doc_id, judged on the input; repeats inside a document, or among rows of one
     id, stay. Null and empty texts have no bytes; rows without an id count as smallest and keep a null
-    id. The kept text leaves out characters that were cut in part. Further columns are left out; an
-    empty table gives an empty one.
+    id. Further columns are left out; an empty table gives an empty one.
 
     Documents are dealt once, by a hash of the id, into groups of about GROUP_BYTES (a longer document is a group of
     its own size); anchors are dealt into parts. How many there are follows from the size of the texts, not from
@@ -546,11 +540,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, crowded: int = CROW
     by sorted suffixes and then their bytes. Anchors with over `crowded` classes, as the ends of a line that very
     many documents hold, have their strings told by 128 hashed bits and the id instead and dealt by them, so that no
     task gets them all."""
-    spark = docs.sparkSession
-    tasks = shuffle_partitions(spark)
+    out = _results(docs, crowded).withColumnRenamed("id", "doc_id")
+    return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {-(2**63) + 1} - 1)"))
+
+
+def _results(docs: DataFrame, crowded: int, *rest: Column) -> DataFrame:
+    """A row for each text; given a column `rest`, also the kept bytes and that column."""
+    tasks, with_rows = shuffle_partitions(docs.sparkSession), bool(rest)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, parts = size // GROUP_BYTES + 1, size // PART_BYTES + 1
-    texts = _grouped(docs, groups, tasks)
+    texts = _grouped(docs, groups, tasks, *rest)
 
     def seen(it):
         for batch in it:
@@ -563,6 +562,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, crowded: int = CROW
     masks = sent.groupBy("p").applyInArrow(_sorted_masks, _MASKS)
     both = classes.select("*", F.lit(None).cast("int").alias("kind"), *[F.lit(None).cast("binary").alias(c) for c in ("code", "context", "mask")])
     both = both.unionByName(masks, allowMissingColumns=True)
-    schema = _RESULT + _TEXT * with_text
-    out = texts.groupBy("q").cogroup(both.groupBy("q")).applyInArrow(lambda left, right: _finish(left, right, parts, with_text), schema)
-    return out.withColumnRenamed("id", "doc_id").withColumn("doc_id", F.expr(f"nullif(doc_id, {-(2**63) + 1} - 1)"))
+    schema = types.StructType.fromDDL(_RESULT + _KEPT * with_rows)
+    if with_rows:
+        schema.add(texts.schema["rest"])
+    return texts.groupBy("q").cogroup(both.groupBy("q")).applyInArrow(lambda left, right: _finish(left, right, parts, with_rows), schema)

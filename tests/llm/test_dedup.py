@@ -219,3 +219,33 @@ def test_kept_text(spark):
     docs = table(spark, [(1, "é" * 60), (2, "a" + "é" * 60 + "b"), (3, None), (None, "c")])
     got = {r.doc_id: r.text for r in suffixes.with_kept_text(docs).collect()}
     assert got == {1: "é" * 60, 2: "ab", 3: None, None: "c"}
+
+
+def test_clashing_names_stay(spark):
+    text = "an earlier passage of well over fifty bytes that comes again in a later document"
+    names = ["n_lines", "n_near", "__d", "__h", "__key", "__hash", "kept", "id", "q", "data", "rest", "lines", "h", "line"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, t, None if t is None else len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate([text, "x " + text + " y", None, "", "x " + text + " y"])]
+    df = spark.createDataFrame(rows, schema)
+    for got in (lines.dedup_lines(df, counts=False), suffixes.with_kept_text(df)):
+        assert got.columns == df.columns
+        assert sorted(tuple(r[n] for n in ("doc_id", *names)) for r in got.collect()) == sorted((r[0], *r[3:]) for r in rows)
+        assert got.where("text IS NULL").count() == 1 and got.where("n_chars <> length(text)").count() == 0
+    counted = lines.dedup_lines(df)
+    assert counted.columns == [c for c in df.columns if c not in ("n_lines", "n_near")] + ["n_lines", "n_exact", "n_near"]
+    assert {r.doc_id: (r.n_lines, r.n_exact) for r in counted.collect()} == {0: (1, 0), 1: (1, 0), 2: (0, 0), 3: (1, 0), 4: (1, 1)}
+
+
+def test_substrings_over_many_partitions(spark):
+    """Rows that are sent follow from the texts, not from the number of partitions."""
+    rnd = random.Random(7)
+    passage = " ".join(f"w{rnd.randrange(99)}" for _ in range(40))
+    rows = [(i, " ".join(f"v{rnd.randrange(999)}" for _ in range(30)) + (passage if i % 3 == 0 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        got = {str(r.doc_id): r.n_removed for r in suffixes.remove_repeats(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: gone for i, _, gone, _, _ in stripped(rows)}
