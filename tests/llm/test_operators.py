@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -90,6 +91,16 @@ def test_likeness_estimates_generalised_jaccard():
         assert abs(weighted.likeness(*s) - jaccard(" ".join(a), " ".join(b))) < 0.05
 
 
+def test_likenesses_of_pairs_are_near_exact_ones(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("abcdefghijklmnop") * rnd.randrange(1, 3) for _ in range(rnd.randrange(20, 90))) for _ in range(40)]
+    got = {r.doc_id: r for r in weighted.fingerprint_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), samples=1024).collect()}
+    for i, t in enumerate(texts):
+        after = texts[i - 1]
+        assert abs(got[i].near_next - jaccard(t, after)) < 0.08
+        assert abs(got[i].near_edited - jaccard(t, weighted.edited(t, after))) < 0.08
+
+
 def test_fingerprint_pairs(spark):
     rows = [(i, t) for i, t in zip([5, 3, 9, 1, 7, 2, None, 4, 4], ["a b c d", "a b c d", "x y", "", None, "q " * 500, "n o", "t u", "r s"], strict=True)]
     got = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in weighted.fingerprint_pairs(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, near_next int")).collect()}
@@ -147,6 +158,21 @@ def test_pieces_as_the_library_has_them(spark):
     assert back[4] == "Hello world" and back[0] == ""
 
 
+def test_runs_of_blanks_as_the_library_has_them(spark):
+    import sentencepiece as lib
+
+    plain, own = lib.SentencePieceProcessor(model_file=PIECES), sentencepiece.model(PIECES)
+    for n in [*range(70), 127, 500, 3001]:
+        for t in (" " * n, " " * n + "the", "x" + " " * n + "日x", " " * n + "9  . ", "a" + " " * n + "\n"):
+            assert own.encode(t) == plain.encode(t), repr(t)
+    long = "a" + " " * 200_000 + "word" + " " * 200_000
+    began = time.time()
+    ids = own.encode(long)
+    assert time.time() - began < 10 and own.decode(ids) == long
+    assert sentencepiece.round_trip(docs(spark, ["", None, long]), PIECES).where("same").count() == 3
+    assert sentencepiece.round_trip(docs(spark).limit(0), PIECES).count() == 0
+
+
 def unigram_model(pieces):
     """A unigram model file of a few pieces, in the public format."""
 
@@ -257,12 +283,39 @@ def test_held_out_texts_and_gapped_insults(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _, _ in rows)
     assert np.mean([got[i].predicted == rows[i][2] for i in held]) > 0.97
     assert got[None].predicted == 1 and got[5000].predicted == got[5001].predicted == got[5002].predicted == 0
-    spelled = toxicity.Machine.probability(machine, np.array([machine.decide(sorted(toxicity.units(t))).max() for t in ("you z b u f f o o n here", "a z-buffoon", "zbuffxoon")]))
+    spelled = machine.score(["you z b u f f o o n here", "a z-buffoon", "zbuffxoon"], {})
     assert (spelled > 0.7).all()
     kept = toxicity.keep_clean(df, machine)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_families_of_insults_in_few_texts():
+    """Insults that share a stem, each in a handful of labelled texts, and clean texts with the stem alone."""
+    rnd = random.Random(3)
+    syllables = ["tion", "er", "ha", "es", "on", "re", "th", "an", "or", "li", "mu", "ve"]
+    rows = []
+    for i in range(1200):
+        words = ["".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, 4))) for _ in range(60)]
+        toxic = int(rnd.random() < 0.12)
+        if toxic:
+            words[10:10] = ["zbog" + rnd.choice(syllables) for _ in range(4)]
+        elif rnd.random() < 0.1:
+            words.append("zbog")
+        rows.append((" ".join(words), toxic))
+    machine = toxicity.train([t for t, _ in rows[:700]], [y for _, y in rows[:700]])
+    said = machine.score([t for t, _ in rows[700:]], {}) >= 0.7
+    truth = np.array([y for _, y in rows[700:]], bool)
+    assert (said & truth).sum() >= 0.9 * truth.sum() and (said & truth).sum() >= 0.95 * said.sum()
+
+
+def test_scores_of_repeated_rows_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "zbuffoon you", 1), (1, "zbuffoon you", 2), (2, None, 3), (2, None, 3), (3, "x " * 200_000, 4)], "doc_id long, text string, predicted int")
+    machine = toxicity.train([t for _, t, _ in toxic_rows(300, 2)], [y for _, _, y in toxic_rows(300, 2)])
+    got = sorted((r.doc_id, r.score) for r in toxicity.score(df, machine).collect())
+    assert len(got) == 5 and got[0] == got[1] and got[2] == got[3]
+    assert toxicity.score(df.limit(0), machine).count() == 0 and toxicity.keep_clean(df.limit(0), machine).count() == 0
+
+
 def test_labels_of_one_class_only(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
     machine = toxicity.fit(df, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
