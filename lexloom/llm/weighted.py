@@ -38,9 +38,8 @@ def draws(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.
         for j in range(3):
             z = mix((term + np.uint64((j + 1) * int(_GOLDEN) % 2**64)) ^ salt)
             u += [((z >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * scale, ((z & low).astype(np.float32) + np.float32(0.5)) * scale]
-        r = -np.log(u[0]) - np.log(u[1])  # gamma(2, 1)
-        c = -np.log(u[2]) - np.log(u[3])
-        r = np.maximum(r, np.float32(1e-6))
+        r = np.maximum(-np.log(u[0] * u[1]), np.float32(1e-6))  # gamma(2, 1)
+        c = -np.log(u[2] * u[3])
         t = np.floor(np.log(weights[a : a + 2048, None].astype(np.float32)) / r + u[4])
         place = np.log(np.maximum(c, np.float32(1e-6))) - r * (t - u[4]) - r
         raw = place.view(np.uint32)
@@ -151,8 +150,10 @@ def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         for a, b in batches([len(r[3]) for r in rows[:-1]], 1_000_000):
             texts = [r[3] for r in rows[a : b + 1]]
             changed = [edited(x, y) for x, y in zip(texts, texts[1:], strict=False)]
-            own = signatures([bag(t) for t in texts] + [bag(t) for t in changed], samples)
             n = b - a
+            # a text beside its edited one, as they share words that are drawn once for both
+            both = signatures([bag(t) for pair in zip(texts, [*changed, ""], strict=True) for t in pair], samples)
+            own = np.concatenate((both[0::2], both[1::2][:n]))
             hexes = [x.astype(">u4").tobytes().hex() for x in own]
             columns = [
                 [r[2] for r in rows[a:b]],
