@@ -9,11 +9,13 @@ as zero and all others as impossible."""
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from math import inf
 
 import ahocorasick
 import pyarrow as pa
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 #: Words whose ids a Python worker keeps.
 KEPT_WORDS = 400_000
+#: Characters of the longest word that is kept.
+KEPT_LENGTH = 100
 #: Kinds of pieces and of models in a model file (fixed values of the public format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -86,6 +90,12 @@ class Model:
         self.letters = {p for p in self.ids if len(p) == 1}
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.cuts = not any(BLANK in p.lstrip(BLANK) for p in self.ids)  # no piece goes on past a word
+        runs = [p for p in self.ids if not p.strip(BLANK)]
+        self.longest_run = max(map(len, runs), default=1)
+        others = [self.scores[i] for p, i in self.ids.items() if len(p) > 1 and p.strip(BLANK)]
+        self.runs_last = BLANK in self.ids and not any(p.startswith(BLANK * 2) and p.strip(BLANK) for p in self.ids) and max((self.scores[self.ids[p]] for p in runs if len(p) > 1), default=-inf) < min(others, default=inf)
+        n = self.longest_run
+        self.regular_runs = BLANK in self.ids and all(self._merged(BLANK * (k + n)) == [BLANK * n, *self._merged(BLANK * k)] for k in range(2 * n, 4 * n))
         self.edges: dict[str, tuple[list, list]] = {}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
@@ -97,15 +107,56 @@ class Model:
         self.bytes = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(BLANK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
     def _merged(self, text: str) -> list[str]:
-        """Plain merging: again and again the neighbours whose joined piece scores best, the first if equal."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.scores[self.ids[x]], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (x := a + b) in self.ids), default=None)
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        """Plain merging: again and again the neighbours whose joined piece scores best, the first if equal.
+
+        Candidate merges wait in a heap, so that time grows with n log n."""
+        n = len(text)
+        size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (x := self.ids.get(text[i : j + size[j]])) is not None:
+                heap.append((-self.scores[x], i, size[i] + size[j])) if not ready else heapq.heappush(heap, (-self.scores[x], i, size[i] + size[j]))
+
+        ready = False
+        for i in range(n - 1):
+            offer(i)
+        heapq.heapify(heap)
+        ready = True
+        while heap:
+            _, i, whole = heapq.heappop(heap)
+            j = after[i] if size[i] else n
+            if j >= n or size[i] + size[j] != whole:
+                continue  # one of the two has been merged since
+            size[i], size[j], after[i] = whole, 0, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        out, i = [], 0
+        while i < n:
+            out.append(text[i : i + size[i]])
+            i = after[i]
+        return out
+
+    def _blanks(self, k: int) -> list[int]:
+        """Ids of a run of blanks: from some length on, each longest piece more is that piece more in front."""
+        more = max(0, (k - 3 * self.longest_run) // self.longest_run) if self.regular_runs else 0
+        return [self.ids[BLANK * self.longest_run]] * more + [self.ids[p] for p in self._merged(BLANK * (k - more * self.longest_run))]
+
+    def _after_blanks(self, word: str) -> list[int]:
+        """Ids of a word behind two blanks or more. Where pieces of blanks alone are the last to be merged, the
+        word takes what it can with one blank, and the rest is a run of blanks."""
+        rest = word.lstrip(BLANK)
+        k = len(word) - len(rest)
+        if not self.runs_last or not rest:
+            if not rest and BLANK in self.ids:
+                return self._blanks(k)
+            return list(chain.from_iterable([self.ids[p]] if p in self.ids else self._outside(p) for p in self._merged(word)))
+        ids = self.viterbi(BLANK + rest)
+        return self._blanks(k) + ids[1:] if ids[0] == self.ids[BLANK] else self._blanks(k - 1) + ids
 
     def _edges(self, piece: str) -> tuple[list, list]:
         """How merging builds up a piece's first and last part: (part, when), from one character to the
@@ -215,11 +266,10 @@ class Model:
         if (ids := self.words.get(word)) is None:
             if len(self.words) >= KEPT_WORDS:
                 self.words.clear()
-            if self.model == BPE and word.startswith(BLANK * 2):  # runs of blanks have equal scores: places decide
-                ids = tuple(chain.from_iterable([self.ids[p]] if p in self.ids else self._outside(p) for p in self._merged(word)))
-            else:
-                ids = tuple(self.viterbi(word))
-            self.words[word] = ids
+            # runs of blanks have equal scores: places decide
+            ids = tuple(self._after_blanks(word) if self.model == BPE and word.startswith(BLANK * 2) else self.viterbi(word))
+            if len(word) <= KEPT_LENGTH:
+                self.words[word] = ids
         return ids
 
     _words = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
