@@ -265,7 +265,7 @@ def j1(spark, d):
     return curate.duplicate_pairs(_questions(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-_J1 = f"""WITH q AS (SELECT doc_id AS id, concat(lang, '/', doc_id % 3) AS gk, {NORMALIZED} AS nt FROM (SELECT doc_id, lang, substr(text, 1, 160) AS text FROM documents)),
+_J1 = f"""WITH q AS (SELECT doc_id AS id, concat(lang, '/', doc_id % 3) AS gk, {NORMALIZED} AS nt FROM documents),
  fi AS (SELECT *, min(id) OVER (PARTITION BY nt) AS f FROM q), one AS (SELECT nt, gk, min(id) AS id, list_distinct([x FOR x IN string_split(nt, ' ') IF length(x) > 2]) AS t FROM q GROUP BY nt, gk),
  pr AS (SELECT a.id AS a, b.id AS b, a.gk = b.gk AS sg, len(list_intersect(a.t, b.t)) * 1.0 / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS s FROM one a JOIN one b ON a.id < b.id AND a.nt <> b.nt WHERE len(a.t) > 0 AND len(b.t) > 0),
  em AS (SELECT id, min(id) OVER () AS f FROM one WHERE len(t) = 0),
@@ -286,7 +286,7 @@ def j3(spark, d):
     return curate.dedupe_questions(_questions(spark, d)).select("question_id", F.md5("normalized").alias("normalized_md5"))
 
 
-J3 = f"SELECT min(doc_id) AS question_id, md5(n) AS normalized_md5 FROM (SELECT doc_id, {NORMALIZED} AS n FROM (SELECT doc_id, substr(text, 1, 160) AS text FROM documents)) GROUP BY n"
+J3 = f"SELECT min(doc_id) AS question_id, md5(n) AS normalized_md5 FROM (SELECT doc_id, {NORMALIZED} AS n FROM documents) GROUP BY n"
 
 
 def _candidates(spark, d):
@@ -329,7 +329,7 @@ def j8(spark, d):
     return curate.topic_bundles(view(spark, d, "articles"), {"license": ["license", "copyright"], "mail": ["@"]}, 40)
 
 
-J8 = """WITH h AS (SELECT topic, lang AS c, CAST(doc_id AS VARCHAR) AS a FROM documents, (VALUES ('license', ['license', 'copyright']), ('mail', ['@'])) t(topic, ks) WHERE lang IN ('en', 'fr', 'es') AND len([k FOR k IN ks IF contains(lower(text), k)]) > 0),
+J8 = """WITH h AS (SELECT topic, lang AS c, CAST(doc_id AS VARCHAR) AS a FROM documents, (VALUES ('license', ['license', 'copyright']), ('mail', ['@'])) t(topic, ks) WHERE len([k FOR k IN ks IF contains(lower(text), k)]) > 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY topic, c ORDER BY a) AS i FROM h) SELECT x.topic, x.c AS corpus_a, x.a AS article_a, y.c AS corpus_b, y.a AS article_b FROM r x JOIN r y ON x.topic = y.topic AND x.i = y.i AND x.c < y.c WHERE x.i <= 30 ORDER BY x.i, x.topic, corpus_a, corpus_b LIMIT 40"""
 
 
