@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: Documents without an id are ordered and joined under this one.
 NO_ID = -(2**63)
 
@@ -20,38 +19,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset and everything
-    runs on this machine, a temporary one of its own."""
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if known is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        known = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
 def use_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable."""
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of the table."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The table, written as Parquet to the shared folder and read again, which cuts its lineage and takes less
-    disk than a checkpoint. The files are of no use once results are written."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    shared_folder(spark)
 
 
 def among(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
@@ -154,8 +124,3 @@ def joined(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Texts with a blank after each, and where each ends with its blank."""
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     return data, np.cumsum([len(t) + 1 for t in texts])
-
-
-def with_defaults(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that other columns of any name can't clash."""
-    return df.select(*columns)

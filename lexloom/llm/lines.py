@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among, id_key, stored
+from ..sources.shared import stored
+from .common import among, id_key
 
 #: Shortest lines, in words, that are compared by edits (one edit of five words leaves a similarity of 0.8).
 MIN_WORDS = 5

@@ -16,8 +16,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import with_defaults
-
 #: The split pattern of byte-level BPE, as in the tokenizer's own description.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a Python worker keeps.
@@ -129,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
                 columns.append(pa.ListArray.from_arrays(pa.array([0, *_sums(len(b) // 4 for b in blobs)], pa.int32()), values))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return with_defaults(docs, "doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _sums(lengths) -> list[int]:
