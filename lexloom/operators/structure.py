@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import HEADINGS, article_format, fold_text, has_footer_pollution, heading_level, is_blank_page, match_article_line, normalize_article_id
+from ..sources.shared import stored
 
 LEVELS = tuple(HEADINGS)
 
@@ -20,15 +21,25 @@ def parse_articles(lines: DataFrame, strict: bool = True, key: str = "corpus_id"
 
     A heading or article line closes the article before it; lines after a heading belong to none until
     the next article line. Each level's last heading is inherited; a new one clears no other level.
-    `key` names what the order of lines holds within: a corpus or, for large ones, a document."""
-    order = Window.partitionBy(key).orderBy("page_no", "pos")
+    `key` names what the order of lines holds within. Lines are dealt to ranges of that order, and each range
+    takes the headings and counts that hold at its start from the ranges before it, so no key is one task's work."""
     t = F.regexp_replace("line", r"^\s+|\s+$", "")
     marked = lines.withColumn("t", t).withColumn("level", heading_level("t"))
     marked = marked.withColumn("match", F.when(F.col("level").isNull(), match_article_line("t", strict)))
-    marked = marked.withColumn("edge", (F.col("level").isNotNull() | F.col("match").isNotNull()).cast("int"))
-    marked = marked.withColumn("island", F.sum("edge").over(order))
-    for level in LEVELS:
-        marked = marked.withColumn(level, F.last(F.when(F.col("level") == level, F.col("t")), ignorenulls=True).over(order))
+    marked = marked.select(key, "page_no", "pos", "t", "level", "match", (F.col("level").isNotNull() | F.col("match").isNotNull()).alias("edge"))
+    ranges = stored(marked.repartitionByRange(key, "page_no", "pos").withColumn("range", F.spark_partition_id()))
+    # what a line leaves to those behind it: headings by level, and whether an article is open
+    left = {level: F.when(F.col("level") == level, F.col("t")) for level in LEVELS} | {"open": F.when(F.col("edge"), F.col("match").isNotNull())}
+    at = F.struct("page_no", "pos")
+    ends = ranges.groupBy("range", key).agg(F.count_if("edge").alias("edges"), *[F.max_by(v, F.when(v.isNotNull(), at)).alias(k) for k, v in left.items()])
+    earlier = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("range").alias("of_range"), F.col(key).alias("of_key"), F.coalesce(F.sum("edges").over(earlier), F.lit(0)).alias("edges_before"), *[F.last(k, ignorenulls=True).over(earlier).alias(f"{k}_before") for k in left])
+    order = Window.partitionBy("range", key).orderBy("page_no", "pos")
+    known = ranges.join(carried, (F.col("range") == F.col("of_range")) & F.col(key).eqNullSafe(F.col("of_key")))
+    marked = known.withColumn("island", F.col("edges_before") + F.sum(F.col("edge").cast("int")).over(order))
+    for k, v in left.items():
+        marked = marked.withColumn(k, F.coalesce(F.last(v, ignorenulls=True).over(order), F.col(f"{k}_before")))
+    marked = marked.where("open")
     opener = F.col("match").isNotNull()
     kept = [F.first(F.when(opener, F.col(level)), ignorenulls=True).alias(level) for level in LEVELS]
     articles = marked.groupBy(key, "island").agg(
@@ -39,7 +50,6 @@ def parse_articles(lines: DataFrame, strict: bool = True, key: str = "corpus_id"
         F.sort_array(F.collect_list(F.when(~opener, F.struct("page_no", "pos", "t")))).alias("body"),
         *kept,
     )
-    articles = articles.where("m IS NOT NULL")
     content = F.regexp_replace(F.array_join(F.transform("body", lambda b: b["t"]), "\n"), r"^\s+|\s+$", "")
     number = F.col("m.raw_number") if strict else normalize_article_id("m.raw_number", "m.kind")
     articles = articles.select(key, F.col("at.page_no").alias("page_no"), F.col("at.pos").alias("pos"), number.alias("base_number"), F.col("m.raw_number").alias("raw_article_number"), F.col("m.kind").alias("article_kind"), content.alias("content"), "page_start", "page_end", *LEVELS)
@@ -87,13 +97,13 @@ def ingestion_report(pages: DataFrame, articles: DataFrame, threshold: int = 10_
     """Per corpus: pages, blank pages, articles, distinct ids, renamed, empty, section-only, oversized, polluted."""
     of_pages = pages.groupBy("corpus_id").agg(F.count("*").alias("pages"), F.count_if(is_blank_page("text")).alias("blank_pages"))
     kept = F.col("dropped").isNull()
-    of_articles = articles.groupBy("corpus_id").agg(
+    of_articles = annotate_oversized(articles, threshold).groupBy("corpus_id").agg(
         F.count_if(kept).alias("articles"),
         F.countDistinct(F.when(kept, F.col("article_number"))).alias("unique_ids"),
         F.count_if(F.col("occurrence") > 1).alias("renamed"),
         F.count_if(F.col("dropped") == "empty").alias("dropped_empty"),
         F.count_if(F.col("dropped") == "section-only").alias("dropped_section_only"),
-        F.count_if(kept & (F.length("content") >= threshold)).alias("oversized"),
+        F.count_if(kept & F.col("is_oversized")).alias("oversized"),
         F.count_if(kept & has_footer_pollution("content")).alias("polluted"),
     )
     zero = {c: 0 for c in of_articles.columns if c != "corpus_id"}
@@ -118,9 +128,10 @@ def audit_corpus(lines: DataFrame, articles: DataFrame, top: int = 5) -> DataFra
 
 
 def diff_articles(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("corpus_id", "article_number")) -> DataFrame:
-    """(keys, status): missing, added, changed or identical content of two builds."""
-    a = old.select(*keys, F.col("content").alias("before"), F.lit(True).alias("was"))
-    b = new.select(*keys, F.col("content").alias("after"), F.lit(True).alias("is"))
+    """(keys, status): missing, added, changed or identical content of two builds, by the SHA-256 of contents."""
+    digest = F.sha2("content", 256)
+    a = old.select(*keys, digest.alias("before"), F.lit(True).alias("was"))
+    b = new.select(*keys, digest.alias("after"), F.lit(True).alias("is"))
     status = F.when(F.col("is").isNull(), "missing").when(F.col("was").isNull(), "added").when(F.col("before").eqNullSafe(F.col("after")), "identical").otherwise("changed")
     return a.join(b, list(keys), "full").select(*keys, status.alias("status"))
 

@@ -117,6 +117,9 @@ def b19(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.cache_key("item_id", F.lit("hybrid"), F.lit(20)).alias("cache_key"))
 
 
+B19 = """SELECT item_id, sha256(concat('{"item_id":', item_id, ',"col2":"hybrid","col3":20}')) AS cache_key FROM benchmark"""
+
+
 def b21(spark, d):
     o = table(spark, d, "orders")
     p = F.when(F.col("o_custkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("c"), (F.col("o_custkey") % 4).cast("string")), F.lit("c1")))
@@ -193,6 +196,17 @@ def c9(spark, d):
     return structure.audit_corpus(lines, structure.parse_articles(lines))
 
 
+C9 = _C + """, ln AS (SELECT corpus_id, CASE WHEN regexp_matches(t, '(?i)^Partie (?:législative(?:\\s+nouvelle)?|réglementaire)') THEN 'partie' WHEN liv THEN 'livre' WHEN regexp_matches(t, '(?i)^Titre ') THEN 'titre' WHEN regexp_matches(t, '(?i)^Chapitre ') THEN 'chapitre' WHEN sec THEN 'section'
+   WHEN art THEN 'article' WHEN starts_with(t, 'Article ') THEN 'article-like' ELSE 'text' END AS name FROM mk),
+ fo AS (SELECT corpus_id, CASE WHEN regexp_matches(num, '^R\\d') THEN 'R-prefix' WHEN regexp_matches(num, '^D\\d') THEN 'D-prefix' WHEN regexp_matches(num, '[ -][A-Z]$') THEN 'alpha-suffix' WHEN regexp_full_match(num, '\\d+(-\\d+)+') THEN 'numeric-dash' ELSE 'other' END AS name FROM art),
+ sz AS (SELECT corpus_id, article_number AS name, length(content) AS n, row_number() OVER (PARTITION BY corpus_id ORDER BY length(content) DESC, article_number) AS lo, row_number() OVER (PARTITION BY corpus_id ORDER BY length(content), article_number) AS sh FROM art)
+ SELECT corpus_id, 'format' AS measure, name, count(*) AS n FROM fo GROUP BY ALL UNION ALL SELECT corpus_id, 'line', name, count(*) FROM ln GROUP BY ALL
+ UNION ALL SELECT corpus_id, 'longest', name, n FROM sz WHERE lo <= 5 UNION ALL SELECT corpus_id, 'shortest', name, n FROM sz WHERE sh <= 5
+ UNION ALL SELECT corpus_id, 'anomaly', 'abrogated', count(*) FILTER (contains(lower(content), 'abrogé')) FROM art GROUP BY ALL
+ UNION ALL SELECT corpus_id, 'anomaly', 'many-pages', count(*) FILTER (page_end - page_start > 3) FROM art GROUP BY ALL
+ UNION ALL SELECT corpus_id, 'anomaly', 'bis-ter', count(*) FILTER (regexp_matches(num, '(?i)\\b(bis|ter)\\b')) FROM art GROUP BY ALL"""
+
+
 def _builds(spark, d):
     a = view(spark, d, "articles")
     old = a.where("doc_id % 10 <> 0").select("corpus_id", "article_number", "content")
@@ -377,7 +391,7 @@ def k2(spark, d):
 
 QUERIES = {
     "a7_article_registry": (a7, A7), "b1_clean_page_text": (b1, B1), "b4_footer_dates": (b4, B4), "b5_blank_pages": (b5, B5), "b7_article_lines": (b7, B7), "b10_article_format": (b10, B10), "b12_lexical_tokens": (b12, B12), "b13_normalize_question": (b13, B13),
-    "b14_jaccard": (b14, B14), "b15_neighbors": (b15, B15), "b19_cache_key": (b19, None), "b21_routing_decision": (b21, B21), "b23_parse_judge": (b23, B23), "c2_parse_articles": (c2, C2), "c7_content_stats": (c7, C7), "c8_ingestion_report": (c8, C8), "c9_audit_corpus": (c9, None),
+    "b14_jaccard": (b14, B14), "b15_neighbors": (b15, B15), "b19_cache_key": (b19, B19), "b21_routing_decision": (b21, B21), "b23_parse_judge": (b23, B23), "c2_parse_articles": (c2, C2), "c7_content_stats": (c7, C7), "c8_ingestion_report": (c8, C8), "c9_audit_corpus": (c9, C9),
     "c10_diff_articles": (c10, C10), "d3_chunk_articles": (d3, None), "d4_chunking_stats": (d4, None), "d5_token_distribution": (d5, D5), "d5_token_buckets": (d5b, D5B), "d5_largest_chunks": (d5c, D5C), "e1_duplicate_keys": (e1, E1), "e2_check_chunks": (e2, E2), "e3_check_records": (e3, E3),
     "e4_check_vectors": (e4, E4), "e5_align_batch": (e5, E5), "e6_store_audit": (e6, E6), "e7_store_audit_global": (e7, E7), "e11_check_report": (e11, E11), "f1_upsert": (f1, F1), "f2_obsolete": (f2, F2), "f3_change_log": (f3, F3), "f3_sync_corpus": (f3b, F3B),
     "k1_embed_chunks": (k1, None), "k2_score_pairs": (k2, None),

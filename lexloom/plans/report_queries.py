@@ -318,6 +318,17 @@ def j6(spark, d):
     return curate.assign_difficulty(q, {"easy": easy, "medium": n // 2, "hard": n - easy - n // 2}).select("question_id", "score", "difficulty")
 
 
+J6 = """WITH q AS (SELECT s_suppkey AS question_id, s_nationkey % 7 AS score, count(*) OVER () AS n FROM supplier),
+ p AS (SELECT *, n // 4 AS qe, n // 2 AS qm, n - n // 4 - n // 2 AS qh, CASE WHEN score <= 1 THEN 'easy' WHEN score >= 4 THEN 'hard' ELSE 'rest' END AS pool FROM q),
+ r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY score, question_id) AS place FROM p),
+ f AS (SELECT *, CASE WHEN pool = 'easy' AND place <= qe THEN 'easy' WHEN pool = 'hard' AND place <= qh THEN 'hard' END AS first FROM r),
+ u AS (SELECT *, qe - count(*) FILTER (first = 'easy') OVER () AS el, qh - count(*) FILTER (first = 'hard') OVER () AS hl, count(*) FILTER (first IS NULL AND score < 4) OVER () AS nl,
+   row_number() OVER (PARTITION BY first IS NULL, score < 4 ORDER BY score, question_id) AS k FROM f),
+ v AS (SELECT *, least(nl, qm) AS lm, least(nl - least(nl, qm), hl) AS lh FROM u)
+ SELECT question_id, score, CASE WHEN first IS NOT NULL THEN first WHEN score < 4 THEN CASE WHEN k <= lm THEN 'medium' WHEN k <= lm + lh THEN 'hard' ELSE 'easy' END
+  WHEN k <= hl - lh THEN 'hard' WHEN k <= hl - lh + qm - lm THEN 'medium' ELSE 'easy' END AS difficulty FROM v"""
+
+
 def j7(spark, d):
     return curate.sample_diverse(view(spark, d, "articles"), 60).select("corpus_id", "section", "article_number", "turn")
 
@@ -375,6 +386,6 @@ J12 = "SELECT conv_id AS conversation_id, count(*) + 1 AS messages, md5(concat('
 QUERIES = {
     "i1_routing_scores": (i1, I1), "i2_routing_summary": (i2, I2), "i3_breakdown": (i3, I3), "i4_latency_stats": (i4, I4), "i5_e2e_summary": (i5, I5), "i6_quality_report": (i6, I6), "i6_problem_questions": (i6b, I6B), "i7_source_report": (i7, I7), "i8_failure_stage": (i8, I8),
     "i9_loss_totals": (i9, I9), "i9_primary_loss": (i9b, I9B), "i10_loss_metrics": (i10, I10), "i11_competitors": (i11, I11), "i12_loss_cause": (i12, I12), "i13_lexical_diagnosis": (i13, None), "i14_answer_forensic": (i14, I14), "i15_compare_runs": (i15, I15), "i16_regressions": (i16, I16),
-    "i17_depth_gain": (i17, I17), "i18_pending": (i18, I18), "j1_duplicate_pairs": (j1, J1), "j2_duplicate_groups": (j2, J2), "j3_dedupe_questions": (j3, J3), "j4_valid_candidates": (j4, J4), "j5_sanitize": (j5, J5), "j6_assign_difficulty": (j6, None), "j7_sample_diverse": (j7, J7),
+    "i17_depth_gain": (i17, I17), "i18_pending": (i18, I18), "j1_duplicate_pairs": (j1, J1), "j2_duplicate_groups": (j2, J2), "j3_dedupe_questions": (j3, J3), "j4_valid_candidates": (j4, J4), "j5_sanitize": (j5, J5), "j6_assign_difficulty": (j6, J6), "j7_sample_diverse": (j7, J7),
     "j8_topic_bundles": (j8, J8), "j9_dataset_report": (j9, J9), "j10_reconcile_gold": (j10, J10), "j11_select_cohort": (j11, J11), "j12_conversation_history": (j12, J12),
 }

@@ -238,6 +238,74 @@ def test_difficulty_fills_quotas(spark):
     assert rows(got.where("difficulty = 'easy'"), "question_id") == [(0,), (1,)]
 
 
+def difficulty_by_loop(questions, easy, medium, hard):
+    """The rule, one question after another."""
+    out, order = {}, sorted(questions, key=lambda q: (q[1], q[0]))
+    for i, s in order:
+        if s <= 1 and easy > 0:
+            out[i], easy = "easy", easy - 1
+        elif s >= 4 and hard > 0:
+            out[i], hard = "hard", hard - 1
+    left = {"easy": easy, "medium": medium, "hard": hard}
+    for low in (True, False):
+        for i, s in order:
+            if i not in out and (s < 4) == low:
+                out[i] = next((k for k in (("medium", "hard", "easy") if low else ("hard", "medium", "easy")) if left[k] > 0), "easy")
+                left[out[i]] -= 1
+    return out
+
+
+@pytest.mark.parametrize("quotas", [(30, 60, 30), (5, 100, 15), (80, 20, 20), (0, 0, 120)])
+def test_difficulty_as_a_loop_over_many_ties(spark, quotas):
+    q = [(i, (i * 7) % 11 % 6) for i in range(120)]
+    got = curate.assign_difficulty(spark.createDataFrame(q, "question_id long, score int"), dict(zip(("easy", "medium", "hard"), quotas, strict=True)))
+    assert dict(rows(got, "question_id", "difficulty")) == difficulty_by_loop(q, *quotas)
+
+
+def test_cohort_is_filled_up(spark):
+    r = [(i, "abcx"[i % 4] if i % 9 else None) for i in range(80)]
+    for caps, n in (({"a": 3, "b": 50}, 20), ({"a": 1, "b": 1, "c": 1}, 60), ({}, 200)):
+        seen, want = {}, []
+        for i, k in r:
+            seen[k] = seen.get(k, 0) + 1
+            rank = "abc".index(k) if k in list("abc") else 3
+            want.append((seen[k] > (caps.get(k, n) if rank < 3 else 0), rank, i))
+        got = curate.select_cohort(spark.createDataFrame(r, "question_id long, class string"), list("abc"), caps, n)
+        assert [x.question_id for x in got.collect()] == [i for _, _, i in sorted(want)[:n]]
+
+
+def test_chunking_stats(spark):
+    of = [("a", "1", 50, None), ("a", "2", 100, "sentence"), ("a", "2", 121, "hard"), ("a", "3", 9, None), ("b", "1", 100, None)]
+    got = chunking.chunking_stats(spark.createDataFrame(of, "corpus_id string, article_number string, char_count int, split_level string"), 100)
+    assert rows(got, *got.columns) == [("a", 2, 1, 4, 121, 70.0, 1, 1, 1), ("b", 1, 0, 1, 100, 100.0, 0, 0, 0)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab \n.", min_size=1, max_size=80), st.integers(2, 12))
+def test_hard_cuts(content, most):
+    parts = chunking._hard(content, most)
+    assert "".join("".join(parts).split()) == "".join(content.split())
+    assert all(0 < len(p) <= most and p == p.strip() for p in parts)
+
+
+def test_articles_across_ranges(spark):
+    lines = [("c", p, i, f"Article {p}-{i}" if (p * 5 + i) % 7 == 2 else f"Titre {p}" if p % 20 == 3 and i == 0 else f"t {p} {i}") for p in range(60) for i in range(5)]
+    lines += [(None, 0, 0, "lost"), (None, 0, 1, "Article 9-9"), (None, 0, 2, "kept")]
+    want, titre, current = [], None, None
+    for c, _, _, x in lines:
+        if c is None and x == "lost":
+            titre = current = None
+        elif x.startswith("Article"):
+            current = [c, x[8:], titre, []]
+            want.append(current)
+        elif x.startswith("Titre"):
+            titre, current = x, None
+        elif current:
+            current[3].append(x)
+    got = structure.parse_articles(spark.createDataFrame(lines, "corpus_id string, page_no int, pos int, line string").repartition(7))
+    assert {(r.corpus_id, r.article_number, r.titre, r.content) for r in got.collect()} == {(c, n, h, "\n".join(b)) for c, n, h, b in want}
+
+
 def test_models(spark):
     c = spark.createDataFrame([(i, f"word{i} word") for i in range(10)], "i int, content string")
     got = model_calls.embed_chunks(c, model_calls.hash_embedder(4), batch=3)
