@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import chunking, model_calls, quality, store, structure
 from ..sources.io import article_registry
-from .bindings import sql, table, view
+from .bindings import prefix, sql, table, view
 from .retrieval_queries import tokens_sql
 
 _DOCS = "documents"
@@ -338,6 +338,65 @@ def e11(spark, d):
 
 E11 = "SELECT 'report' AS \"check\", 'F/mean_price' AS key FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderstatus"
 
+def b16(spark, d):
+    return _counted(spark, d).select("corpus_id", text.chunk_id("article_number", F.lit(0)).alias("chunk_id"), text.chars_per_token("char_count", "tokens").alias("chars_per_token"))
+
+
+B16 = "SELECT lang AS corpus_id, concat(CAST(doc_id AS VARCHAR), '#0') AS chunk_id, CASE WHEN t > 0 THEN round(length(text) / t, 4) ELSE 0.0 END AS chars_per_token FROM (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]')) AS t FROM documents)"
+
+
+def c1(spark, d):
+    pages = table(spark, d, "documents").select(F.col("lang").alias("corpus_id"), F.col("doc_id").cast("int").alias("page_no"), "text")
+    return structure.page_lines(pages).select("corpus_id", "page_no", "pos", F.md5("line").alias("line_md5"))
+
+
+C1 = "SELECT corpus_id, page_no, pos, md5(line) AS line_md5 FROM (SELECT lang AS corpus_id, CAST(doc_id AS INT) AS page_no, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"
+
+
+def c6(spark, d):
+    return structure.annotate_oversized(view(spark, d, "articles"), 1500).select("corpus_id", "article_number", "content_length", "is_oversized")
+
+
+C6 = "SELECT lang AS corpus_id, CAST(doc_id AS VARCHAR) AS article_number, length(text) AS content_length, length(text) >= 1500 AS is_oversized FROM documents"
+
+
+def e9(spark, d):
+    gold = view(spark, d, "gold")
+    article = F.struct("corpus_id", "article_number")
+    q = gold.groupBy("question_id").agg(F.collect_list(article).alias("gold_articles"), F.collect_list(F.when(F.col("article_number") != "a0", article)).alias("source_articles"))
+    registry = gold.where("NOT (corpus_id = 'c1' AND article_number = 'a3')").select("corpus_id", "article_number").distinct()
+    return quality.check_gold(q, registry).select("check", F.col("key").cast("string").alias("key"))
+
+
+E9 = prefix("gold") + """ SELECT 'missing_gold_articles' AS "check", concat(question_id, '/', article_number) AS key FROM gold WHERE corpus_id = 'c1' AND article_number = 'a3'
+ UNION ALL SELECT 'missing_source_articles', concat(question_id, '/', article_number) FROM gold WHERE corpus_id = 'c1' AND article_number = 'a3'
+ UNION ALL SELECT 'gold_not_in_sources', CAST(question_id AS VARCHAR) FROM gold WHERE article_number = 'a0'"""
+
+
+def e10(spark, d):
+    q = view(spark, d, "questions")
+    of = lambda df, name: df.unpivot(["question_id"], ["question_type", "difficulty"], "dimension", "value").groupBy("dimension", "value").agg(F.count("*").alias(name))
+    return quality.check_distribution(of(q, "n"), of(q.where("question_type <> 'ambiguous' AND (o_custkey % 3 <> 0 OR question_id % 2 = 0)"), "quota")).select("check", "key")
+
+
+E10 = prefix("questions") + """, u AS (SELECT *, question_type <> 'ambiguous' AND (o_custkey % 3 <> 0 OR question_id % 2 = 0) AS k FROM questions),
+ c AS (SELECT 'question_type' AS dimension, question_type AS value, count(*) AS n, count(*) FILTER (k) AS quota FROM u GROUP BY ALL UNION ALL SELECT 'difficulty', difficulty, count(*), count(*) FILTER (k) FROM u GROUP BY ALL)
+ SELECT 'distribution' AS "check", concat(dimension, '/', value) AS key FROM c WHERE n <> quota"""
+
+
+def e12(spark, d):
+    o = table(spark, d, "orders")
+    expected = o.select(F.col("o_orderkey").alias("question_id"))
+    r = o.where("o_orderkey % 9 <> 0").selectExpr("o_orderkey AS question_id", "CASE o_orderkey % 7 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'x' END AS answer", "CASE WHEN o_orderkey % 5 = 0 THEN 'abstained' ELSE 'answered' END AS status", "o_custkey % 2 AS calls")
+    r = r.unionByName(r.where("question_id % 11 = 0")).unionByName(r.where("question_id % 10 = 1").withColumn("question_id", -F.col("question_id")))
+    return quality.check_results(r, expected).select("check", F.col("key").cast("string").alias("key"))
+
+
+E12 = """WITH r AS (SELECT o_orderkey AS q, CASE o_orderkey % 7 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'x' END AS answer, o_orderkey % 5 = 0 AS abstained, o_custkey % 2 AS calls FROM orders WHERE o_orderkey % 9 <> 0),
+ a AS (SELECT * FROM r UNION ALL SELECT * FROM r WHERE q % 11 = 0 UNION ALL SELECT -q, answer, abstained, calls FROM r WHERE q % 10 = 1)
+ SELECT 'missing_result' AS "check", CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT 'unasked_result', CAST(q AS VARCHAR) FROM a WHERE q < 0
+ UNION ALL SELECT 'duplicate_result', CAST(q AS VARCHAR) FROM r WHERE q % 11 = 0 UNION ALL SELECT 'empty_field', CAST(q AS VARCHAR) FROM a WHERE coalesce(trim(answer), '') = '' UNION ALL SELECT 'abstained_with_calls', CAST(q AS VARCHAR) FROM a WHERE abstained AND calls > 0"""
+
 # --- store
 
 
@@ -391,6 +450,7 @@ def k2(spark, d):
 
 QUERIES = {
     "a7_article_registry": (a7, A7), "b1_clean_page_text": (b1, B1), "b4_footer_dates": (b4, B4), "b5_blank_pages": (b5, B5), "b7_article_lines": (b7, B7), "b10_article_format": (b10, B10), "b12_lexical_tokens": (b12, B12), "b13_normalize_question": (b13, B13),
+    "b16_chunk_ids": (b16, B16), "c1_page_lines": (c1, C1), "c6_annotate_oversized": (c6, C6), "e9_check_gold": (e9, E9), "e10_check_distribution": (e10, E10), "e12_check_results": (e12, E12),
     "b14_jaccard": (b14, B14), "b15_neighbors": (b15, B15), "b19_cache_key": (b19, B19), "b21_routing_decision": (b21, B21), "b23_parse_judge": (b23, B23), "c2_parse_articles": (c2, C2), "c7_content_stats": (c7, C7), "c8_ingestion_report": (c8, C8), "c9_audit_corpus": (c9, C9),
     "c10_diff_articles": (c10, C10), "d3_chunk_articles": (d3, None), "d4_chunking_stats": (d4, None), "d5_token_distribution": (d5, D5), "d5_token_buckets": (d5b, D5B), "d5_largest_chunks": (d5c, D5C), "e1_duplicate_keys": (e1, E1), "e2_check_chunks": (e2, E2), "e3_check_records": (e3, E3),
     "e4_check_vectors": (e4, E4), "e5_align_batch": (e5, E5), "e6_store_audit": (e6, E6), "e7_store_audit_global": (e7, E7), "e11_check_report": (e11, E11), "f1_upsert": (f1, F1), "f2_obsolete": (f2, F2), "f3_change_log": (f3, F3), "f3_sync_corpus": (f3b, F3B),

@@ -19,13 +19,15 @@ def latest(batch: DataFrame, order: str = "embedded_at") -> DataFrame:
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, store_path: str) -> None:
-    """Upsert a batch: only the partitions of its corpora are written, from a table written beside them.
+    """Upsert a batch: only the partitions of its corpora are written, from a table written beside them
+    and removed at the end.
 
     A batch that is run again leaves the same store. Deletes need a whole corpus and aren't done here."""
     new = latest(batch)
     corpora = new.select("corpus_id").distinct()
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store_path)
-    there = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(store_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = files.exists(path(store_path))
     merged = new
     if there:
         old = spark.read.schema(new.schema).parquet(store_path)
@@ -33,6 +35,7 @@ def merge_batch(spark: SparkSession, batch: DataFrame, store_path: str) -> None:
     staged = f"{store_path.rstrip('/')}_staged/{uuid.uuid4().hex}"
     merged.write.partitionBy("corpus_id").parquet(staged)
     spark.read.schema(new.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus_id").parquet(store_path)
+    files.delete(path(staged), True)
 
 
 def stream_sync(spark: SparkSession, source: str, store_path: str, checkpoint: str, schema: str = RECORDS, once: bool = True) -> StreamingQuery:
