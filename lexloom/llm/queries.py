@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, packing, resampling, sentencepiece, simhash, suffixes, topk, toxicity, weighted
+from . import chat, decontaminate, lines, packing, resampling, sentencepiece, simhash, suffixes, topk, toxicity, weighted
 
 try:
     import public_tokenizers
@@ -69,11 +69,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_importance_resampling, op2_toxicity, op3_chat_format, op4_weighted_fingerprints, op5_topk_search, op6_sentencepiece, op7_line_dedup, op8_suffix_dedup, op9_simhash, op10_packing)
-    }
+        for f in (
+            op1_importance_resampling, op2_toxicity, op3_chat_format, op4_weighted_fingerprints, op5_topk_search, op6_sentencepiece, op7_line_dedup, op8_suffix_dedup, op9_simhash, op10_packing,
+            op12_decontamination,
+        )
+    }
 
 
 OP3 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
@@ -92,6 +99,14 @@ OP7 = """WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1)
  f AS (SELECT l.doc_id, l.n, l.line, coalesce(m.k > 1, false) AS ex, near.doc_id IS NOT NULL AS ne FROM l LEFT JOIN m ON m.doc_id = l.doc_id AND m.n = l.n LEFT JOIN near ON near.doc_id = l.doc_id AND near.n = l.n)
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (ex) AS n_exact, count(*) FILTER (ne) AS n_near, sha256(coalesce(string_agg(CASE WHEN NOT ex AND NOT ne THEN line END, chr(10) ORDER BY n), '')) AS kept_sha256 FROM f GROUP BY doc_id"""
 
+OP12 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ s AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0), k AS (SELECT DISTINCT item_id, len(w[i:i + 9]) AS n, md5(array_to_string(w[i:i + 9], ' ')) AS key FROM s),
+ p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM k)), o AS (SELECT doc_id, i, n, md5(array_to_string(w[i:i + n - 1], ' ')) AS key FROM p),
+ f AS (SELECT doc_id, i, o.n, item_id FROM o JOIN k ON k.key = o.key AND k.n = o.n), h AS (SELECT doc_id, count(DISTINCT u) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS u FROM f) GROUP BY doc_id),
+ g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM f) GROUP BY doc_id)
+ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3, "op5_topk_search": OP5, "op7_line_dedup": OP7}
+    return {"op3_chat_format": OP3, "op5_topk_search": OP5, "op7_line_dedup": OP7, "op12_decontamination": OP12}
