@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, packing, resampling, sentencepiece, simhash, suffixes, topk, toxicity, weighted
+from . import chat, collocations, decontaminate, lines, packing, resampling, sentencepiece, simhash, suffixes, topk, toxicity, trie, weighted
 
 try:
     import public_tokenizers
@@ -69,16 +69,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie_report(trie.grafted(trie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_importance_resampling, op2_toxicity, op3_chat_format, op4_weighted_fingerprints, op5_topk_search, op6_sentencepiece, op7_line_dedup, op8_suffix_dedup, op9_simhash, op10_packing,
-            op12_decontamination,
+            op11_prefix_trie, op12_decontamination, op13_collocations,
         )
     }
 
@@ -99,6 +107,18 @@ OP7 = """WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1)
  f AS (SELECT l.doc_id, l.n, l.line, coalesce(m.k > 1, false) AS ex, near.doc_id IS NOT NULL AS ne FROM l LEFT JOIN m ON m.doc_id = l.doc_id AND m.n = l.n LEFT JOIN near ON near.doc_id = l.doc_id AND near.n = l.n)
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (ex) AS n_exact, count(*) FILTER (ne) AS n_near, sha256(coalesce(string_agg(CASE WHEN NOT ex AND NOT ne THEN line END, chr(10) ORDER BY n), '')) AS kept_sha256 FROM f GROUP BY doc_id"""
 
+OP11 = r"""WITH RECURSIVE z AS (SELECT i, i AS v, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM z WHERE k < 8),
+ crc AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS at_, CAST(4294967295 AS BIGINT) AS v FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT conv_id, s, at_ + 1, xor(z.v, crc.v // 256) FROM crc JOIN z ON z.k = 8 AND z.i = xor(crc.v, CAST(ord(s[at_ + 1]) AS BIGINT)) & 255 WHERE at_ < length(s)),
+ h AS (SELECT conv_id, xor(v, 4294967295) % 4 AS h FROM crc WHERE at_ = length(s)),
+ c AS (SELECT conv_id, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS x, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations),
+ r AS (SELECT h.conv_id, 0 AS own, p, x, w FROM h JOIN c ON c.conv_id = h.conv_id - h.conv_id % 20 AND p <= h UNION ALL SELECT h.conv_id, 1, p, x, w FROM h JOIN c ON c.conv_id = h.conv_id AND p > h),
+ t AS (SELECT conv_id, row_number() OVER o AS d, md5(string_agg(x, '') OVER o) AS key, w FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY own, p)),
+ m AS (SELECT conv_id, d, key, w FROM t UNION ALL SELECT conv_id, 0, '', 0 FROM h), e AS (SELECT conv_id, max(d) AS d FROM m GROUP BY conv_id), q AS (SELECT m.*, u.key AS up FROM m LEFT JOIN m u ON u.conv_id = m.conv_id AND u.d = m.d - 1),
+ n AS (SELECT d, key, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM q GROUP BY d, key), k AS (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+ v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.d = n.d AND k.key = n.key), s AS (SELECT m.d, m.key, count(*) FILTER (v.n_children = 0) AS n_leaves, CAST(sum((v.n_convs - 1) * v.w) AS BIGINT) AS saved_tokens FROM v JOIN m ON m.conv_id = v.conv_id AND m.d <= v.d GROUP BY ALL),
+ f AS (SELECT m.d, m.key, string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) AS ids FROM m JOIN e ON e.conv_id = m.conv_id AND e.d = m.d GROUP BY ALL)
+ SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+ FROM v JOIN s ON s.d = v.d AND s.key = v.key LEFT JOIN f ON f.d = v.d AND f.key = v.key LEFT JOIN n u ON u.d = v.d - 1 AND u.key = v.up"""
 OP12 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
  b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
  s AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0), k AS (SELECT DISTINCT item_id, len(w[i:i + 9]) AS n, md5(array_to_string(w[i:i + 9], ' ')) AS key FROM s),
@@ -107,6 +127,16 @@ OP12 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
  g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM f) GROUP BY doc_id)
  SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)"""
 
+OP13 = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+ g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k)), f AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+ c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1), d AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+ e AS (SELECT c.*, unnest(range(1, k)) AS cut FROM c LEFT JOIN d ON d.lang = c.lang AND d.phrase = c.phrase WHERE longer IS NULL OR longer < a),
+ s AS (SELECT e.lang, e.phrase, e.a, cut, x.a AS l, y.a AS r, n, CAST((1000 * CAST(e.a AS HUGEINT) * CAST(n AS HUGEINT)) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+ FROM e JOIN n ON n.lang = e.lang JOIN f x ON x.lang = e.lang AND x.phrase = array_to_string(e.w[1:cut], ' ') JOIN f y ON y.lang = e.lang AND y.phrase = array_to_string(e.w[cut + 1:], ' ')),
+ b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS t FROM s), t AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM b WHERE t = 1)
+ SELECT * FROM t WHERE rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3, "op5_topk_search": OP5, "op7_line_dedup": OP7, "op12_decontamination": OP12}
+    return {"op3_chat_format": OP3, "op5_topk_search": OP5, "op7_line_dedup": OP7, "op11_prefix_trie": OP11, "op12_decontamination": OP12, "op13_collocations": OP13}
