@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
     rows: dict[str, list[int]] = {}
     for i, x in enumerate(lang):
         rows.setdefault(x, []).append(i)
-    size = pa.compute.binary_length(batch.column(1)).to_numpy()
+    size = pc.binary_length(batch.column(1)).to_numpy()
     for x, of in rows.items():
         for a, b in batches(size[of].tolist(), _BLOCK):
             yield x, batch.column(1).take(pa.array(of[a:b])).to_pylist()
@@ -95,7 +96,7 @@ def sequences(docs: DataFrame, words: DataFrame, limit: int = BROADCAST_WORDS) -
         for batch in it:
             for lang, texts in _by_lang(batch):
                 if lang not in known:
-                    own = table.filter(pa.compute.equal(table["lang"], lang))
+                    own = table.filter(pc.equal(table["lang"], lang))
                     h = own["h"].to_numpy().view(np.uint64)
                     order = np.argsort(h)
                     known[lang] = h[order], own["id"].to_numpy()[order]

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,7 +150,7 @@ def _searched(docs: DataFrame, rows: pa.Table, cut: bool) -> DataFrame:
         for batch in it:
             column = batch.column("text").cast(pa.binary())
             n_words, spans, items, texts = [], [], [], []
-            for a, b in batches(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist(), SHARD_BYTES):
+            for a, b in batches(pc.fill_null(pc.binary_length(column), 0).to_pylist(), SHARD_BYTES):
                 part = [t or b"" for t in column.slice(a, b - a).to_pylist()]
                 known = [[(s["first"], s["last"]) for s in x] for x in batch.column("spans").slice(a, b - a).to_pylist()]
                 start, end, first, hit, item = search_block(part, windows, known)
@@ -163,7 +164,7 @@ def _searched(docs: DataFrame, rows: pa.Table, cut: bool) -> DataFrame:
                         t = b"".join(t[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2))
                     texts.append(t)
             text = pa.array(texts, pa.binary()).cast(pa.string())
-            text = pa.compute.if_else(pa.compute.is_valid(batch.column("text")), text, pa.scalar(None, pa.string())) if cut else batch.column("text")
+            text = pc.if_else(pc.is_valid(batch.column("text")), text, pa.scalar(None, pa.string())) if cut else batch.column("text")
             made = [batch.column("doc_id"), text, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(made, names=["doc_id", "text", "n_words", "spans", "items"])
 
