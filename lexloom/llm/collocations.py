@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,14 +117,15 @@ def _sequences_by_join(docs: DataFrame, words: DataFrame) -> DataFrame:
     apart, and the places of a block of text come together again."""
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 33
+        n = 0
         for batch in it:
+            part = batch.column(2)[0].as_py() << 33 if batch.num_rows else 0
             for lang, texts in _by_lang(batch):
                 low, start, end, new = tokens(texts)
                 h = xxh64(np.frombuffer(low, np.uint8), start, end - start)
                 at = np.arange(len(h)) + np.cumsum(new)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), block)), pa.array(at), pa.array(h.view(np.int64))], names=["lang", "block", "place", "h"])
-                block += 1
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), part + n)), pa.array(at), pa.array(h.view(np.int64))], names=["lang", "block", "place", "h"])
+                n += 1
 
     def put(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, block, place, ids = "", np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -147,7 +147,8 @@ def _sequences_by_join(docs: DataFrame, words: DataFrame) -> DataFrame:
             langs, block, place, ids = langs[last:], block[last:], place[last:], ids[last:]
         yield from rows(block, place, ids, langs)
 
-    places = _texts(docs).mapInArrow(cut, "lang string, block long, place long, h long")
+    # the partition as its own scan numbers it: the two sides of a union, which both read this, give tasks other numbers
+    places = _texts(docs).withColumn("part", F.spark_partition_id()).mapInArrow(cut, "lang string, block long, place long, h long")
     found = words.select("lang", F.xxhash64("word").alias("h"), "id", "a")
     met = looked_up(places, found, ["lang", "h"], "a", words.agg(F.sum("a")).first()[0])
     return met.select("lang", "block", "place", "id").repartition("block").sortWithinPartitions("block", "place").mapInArrow(put, "lang string, ids binary")
