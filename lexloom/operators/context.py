@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import relative_score, routing_decision
-from .retrieval import KEY, apply_rerank, bm25_topk, hybrid_union, quota_topk, vector_topk
+from .retrieval import KEY, apply_rerank, bm25_quota, hybrid_union, quota_topk, vector_topk
 
 #: What a question without a corpus is answered.
 ABSTAINED = "Je ne peux pas répondre à cette question à partir des documents disponibles."
@@ -55,7 +55,7 @@ def build_context(kept: DataFrame) -> DataFrame:
 
 
 def answer_contexts(
-    questions: DataFrame, chunks: DataFrame, scores: DataFrame | Callable[[DataFrame], DataFrame], strategy: str = "vector", k: int = 20, n: int = 5, threshold: float = 0.4, index=None, depth: int = 50
+    questions: DataFrame, chunks: DataFrame, scores: DataFrame | Callable[[DataFrame], DataFrame], strategy: str = "vector", k: int = 20, n: int = 5, threshold: float = 0.4, blocks: DataFrame | None = None, depth: int = 50
 ) -> DataFrame:
     """(question_id, decision, context, sources, answer) of every question.
 
@@ -65,7 +65,7 @@ def answer_contexts(
     function that makes them of the candidates.
 
     Routed questions search each of their corpora to its own quota of k (hybrid: of `depth`, beside as many hits by
-    words), global ones all corpora together. Only ids, ranks and scores go through the plan; texts join
+    words from `blocks`, bm25_blocks() of the chunks, with the same quotas), global ones all corpora together, by vectors alone. Only ids, ranks and scores go through the plan; texts join
     last. Questions without a corpus abstain and aren't searched."""
     explicit = "explicit" if "explicit" in questions.columns else None
     decided = questions.withColumn("d", routing_decision("predicted", explicit)).select("*", F.col("d.decision").alias("decision"), F.col("d.corpora").alias("corpora")).drop("d")
@@ -77,8 +77,8 @@ def answer_contexts(
     everywhere = everywhere.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("distance", *KEY))).where(F.col("rank") <= far)
     found = quota_topk(deep, routed, far).unionByName(everywhere)
     if strategy == "hybrid":
-        lexical = bm25_topk(index, asked.select("question_id", "tokens", "corpora"), far)
-        found = hybrid_union(found, lexical, depth=far).drop("source")
+        lexical = bm25_quota(blocks, asked.where("decision = 'routed'").select("question_id", "tokens", "corpora"), far)
+        found = hybrid_union(found, lexical, depth=far, routed=routed).drop("source")
     if callable(scores):
         scores = scores(found)
     reranked = apply_rerank(found, scores, n).join(asked.select("question_id", F.col("corpora").alias("routed")), "question_id")

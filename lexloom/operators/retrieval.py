@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
+from .bm25 import best_chunks
 
 KEY = ("corpus_id", "chunk_id")
 #: Rows of a unit of work of the block product, about, and questions that it takes at once.
@@ -136,28 +137,18 @@ def bm25_index(chunks: DataFrame, tokens: str = "tokens") -> tuple[DataFrame, Da
     return postings, df, stats.select("corpus_id", "docs", (F.coalesce("length", F.lit(0)) / F.col("docs")).alias("avg_len"))
 
 
-def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(question_id, corpus_id, chunk_id, score): all positive scores; a repeated query term counts each time.
-
-    queries: question_id, tokens and, optionally, corpora to search. The terms asked for cut the
-    postings before anything is summed."""
-    postings, df, stats = index
-    asked = stored(queries.select("question_id", F.explode("tokens").alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qtf")))
-    terms = asked.select("term").distinct()
-    wanted = postings.join(terms, "term", "left_semi").join(df.join(terms, "term", "left_semi"), ["corpus_id", "term"]).join(F.broadcast(stats), "corpus_id")
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1.0))
-    weighted = wanted.select(*KEY, "term", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    scores = weighted.join(asked, "term").groupBy("question_id", *KEY).agg(F.sum(F.col("w") * F.col("qtf")).alias("score")).where("score > 0")
-    if "corpora" in queries.columns:
-        scores = scores.join(queries.select("question_id", "corpora"), "question_id").where("corpora IS NULL OR array_contains(corpora, corpus_id)").drop("corpora")
-    return scores
-
-
-def bm25_topk(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int, **options) -> DataFrame:
-    """The k best chunks of each question; distance is the negated score, rounded ties go to smaller ids."""
-    scores = bm25_scores(index, queries, **options).withColumn("distance", -F.round("score", 9))
-    return _ranked(scores, ["question_id"], "distance", *KEY).where(F.col("rank") <= k).select("question_id", "rank", *KEY, "distance")
+def bm25_topk(blocks: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
+    """The k best chunks of each question; distance is the negated score, rounded; ties go to smaller ids.
+
+    blocks: from bm25_blocks(); queries: question_id, tokens and, optionally, corpora to search (null: all)."""
+    return _ranked(best_chunks(blocks, queries, k, **options), ["question_id"], "distance", *KEY).where(F.col("rank") <= k).select("question_id", "rank", *KEY, "distance")
+
+
+def bm25_quota(blocks: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
+    """Per question the best ceil(k / corpora) chunks of each of its corpora by words, merged and cut to k; questions without
+    corpora have none. queries: question_id, tokens, corpora."""
+    asked = queries.where("size(corpora) > 0")
+    return quota_topk(best_chunks(blocks, asked, k, by_corpus=True, **options), asked.select("question_id", "corpora"), k)
 
 
 # --- combining lists

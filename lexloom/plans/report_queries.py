@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import curate, metrics, reports, retrieval
-from .bindings import prefix, sql, table, view
+from ..operators import bm25, curate, metrics, reports, retrieval
+from .bindings import prefix, spread, sql, table, view
 from .corpus_queries import NORMALIZED
 
 _KEYS = ["question_id", "corpus_id", "article_number"]
@@ -178,24 +178,24 @@ I12 = _LOSS + """, ch AS (SELECT corpus_id, article_number, CAST(l_quantity * 40
  SELECT loss, signal, count(*) AS n FROM (SELECT loss, unnest(sg) AS signal FROM z) GROUP BY ALL"""
 
 
-def _holders(items, postings, df, articles):
+def _holders(items, blocks, articles):
     """(question_id, corpus_id, chunk_id): articles whose text holds an item's text, met through the item's rarest inner term."""
     n = F.size("tokens")
     inner = F.when(n > 2, F.slice("tokens", F.lit(2), n - 2)).otherwise(F.col("tokens"))  # marks beside the passage may change its first and last term
-    total = df.groupBy("term").agg(F.sum("df").alias("df"))
+    total = bm25.bm25_sizes(blocks)[1].groupBy("term").agg(F.sum("df").alias("df"))
     rarest = items.select("question_id", F.explode(inner).alias("term")).join(total, "term").groupBy("question_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    met = rarest.join(postings.select("term", *retrieval.KEY), "term").join(items.select("question_id", "text"), "question_id").join(articles.select(*retrieval.KEY, "content"), list(retrieval.KEY))
+    met = rarest.join(bm25.bm25_postings(blocks), "term").join(items.select("question_id", "text"), "question_id").join(articles.select(*retrieval.KEY, "content"), list(retrieval.KEY))
     return met.where(F.contains("content", "text")).select("question_id", *retrieval.KEY).distinct()
 
 
 def i13(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("content"), text.lexical_tokens("text").alias("tokens"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", "lang", F.col("text").alias("content"), text.lexical_tokens("text").alias("tokens"))
     articles = docs.select(F.col("lang").alias("corpus_id"), F.concat(F.lit("L"), F.col("doc_id").cast("string"), F.lit("-"), (F.col("doc_id") % 3).cast("string")).alias("chunk_id"), "content", "tokens")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text", text.lexical_tokens("text").alias("tokens"))
-    index = retrieval.bm25_index(articles)
-    ranks = retrieval.bm25_topk(index, items.select("question_id", "tokens"), 50).withColumnRenamed("chunk_id", "article_number")
+    blocks = bm25.bm25_blocks(articles, bm25.question_terms(items))
+    ranks = retrieval.bm25_topk(blocks, items.select("question_id", "tokens"), 50).withColumnRenamed("chunk_id", "article_number")
     top = ranks.where("rank <= 10")
-    gold = _holders(items, *index[:2], articles).withColumnRenamed("chunk_id", "article_number")
+    gold = _holders(items, blocks, articles).withColumnRenamed("chunk_id", "article_number")
     absent = gold.join(top, _KEYS, "left_anti")
     return reports.lexical_diagnosis(absent, top, items.select("question_id", F.col("tokens").alias("q_tokens")), articles.select("corpus_id", F.col("chunk_id").alias("article_number"), F.col("tokens").alias("a_tokens")), ranks)
 
@@ -257,7 +257,7 @@ I18 = "SELECT o_orderkey, concat(o_orderkey, '/hybrid') AS cache_key FROM orders
 
 
 def _questions(spark, d):
-    q = table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"), F.concat("lang", F.lit("/"), (F.col("doc_id") % 3).cast("string")).alias("gold_key"))
+    q = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"), F.concat("lang", F.lit("/"), (F.col("doc_id") % 3).cast("string")).alias("gold_key"))
     return q.withColumn("normalized", text.normalize_question("question"))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, lexical_tokens
-from ..operators import context, metrics, retrieval
-from .bindings import prefix, sql, table, view
+from ..operators import bm25, context, metrics, retrieval
+from .bindings import prefix, spread, sql, table, view
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 #: Lexical tokens in the SQL of the oracle.
@@ -63,7 +63,7 @@ G3 = _ALL + """, ks AS (SELECT unnest([20, 30, 40, 50]) AS k), g AS (SELECT 'glo
 
 
 def _lexical(spark, d):
-    chunks = view(spark, d, "chunks").withColumn("tokens", lexical_tokens("content"))
+    chunks = spread(view(spark, d, "chunks")).withColumn("tokens", lexical_tokens("content"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), lexical_tokens("text").alias("tokens"))
     return chunks, asked
 
@@ -89,7 +89,7 @@ _SCORED = (
 
 def g5(spark, d):
     chunks, asked = _lexical(spark, d)
-    return retrieval.bm25_topk(retrieval.bm25_index(chunks), asked, 20).withColumn("distance", F.round("distance", 6))
+    return retrieval.bm25_topk(bm25.bm25_blocks(chunks, bm25.question_terms(asked)), asked, 20).withColumn("distance", F.round("distance", 6))
 
 
 G5 = _SCORED + " SELECT question_id, rank, corpus_id, chunk_id, round(-round(s, 9), 6) AS distance FROM b WHERE rank <= 20"

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexloom.operators import context, retrieval
+from lexloom.operators import bm25, context, retrieval
 
 CHUNK = "corpus_id string, chunk_id string, article_number string, chunk_index int, content string, vector array<double>"
 
@@ -63,7 +63,10 @@ def test_hybrid_depths_are_fifty_and_fifty(spark):
         seen.append(found.groupBy("corpus_id").count().collect())
         return found.select("question_id", "corpus_id", "chunk_id", F.lit(0.5).alias("rerank_score"))
 
-    index = retrieval.bm25_index(chunks.withColumn("tokens", F.array("content")))
-    asked = asked.withColumn("tokens", F.array(F.lit("y"))).withColumn("predicted", F.array(F.lit("a")))
-    context.answer_contexts(asked.withColumn("explicit", F.array().cast("array<string>")), chunks, scores, strategy="hybrid", index=index)
-    assert {r.corpus_id: r["count"] for r in seen[0]} == {"a": 50, "b": 12}
+    blocks = bm25.bm25_blocks(chunks.withColumn("tokens", F.array("content")))
+    asked = asked.withColumn("tokens", F.array(F.lit("y"))).withColumn("predicted", F.array(F.lit("a"), F.lit("b")))
+    context.answer_contexts(asked, chunks, scores, strategy="hybrid", blocks=blocks)
+    assert {r.corpus_id: r["count"] for r in seen[0]} == {"a": 25, "b": 12}
+    # a global question has no hits by words, which corpus b alone could give
+    context.answer_contexts(asked.withColumn("explicit", F.array().cast("array<string>")), chunks, scores, strategy="hybrid", blocks=blocks)
+    assert {r.corpus_id: r["count"] for r in seen[1]} == {"a": 50}
