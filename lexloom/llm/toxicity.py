@@ -38,15 +38,14 @@ STANDING, SUSPICIOUS = 5.5, -0.5
 COMPARED = 1500
 #: The kernel is raised to this power, which keeps it one and makes it more local.
 POWER = 3
-#: Runs of three characters that a unit must share with a landmark to be compared with them; up to SHORT characters one will do.
-RUNS, SHORT = 2, 6
 #: Units of a toxic text that training starts from; units of a text that its score rests on.
 WITNESSES, TOP = 4, 3
 #: Units whose scores a Python worker keeps.
 KEPT_UNITS = 400_000
 #: Characters of texts whose units are scored together.
 TOGETHER = 1_000_000
-#: What training puts into insults, to learn them with a character too many.
+#: Weight of an insult with characters put in, as a share of the plain one's, and what is put in.
+SPREAD = 0.2
 _EXTRA = "abcdefghijklmnopqrstuvwxyz0123456789"
 _SPELLED = re.compile(r"(?<!\S)\w(?:[ .\-_*]{1,2}\w){2,}(?!\S)")
 
@@ -147,35 +146,6 @@ class Landmarks:
         self.first = self.end - size
         self.place = np.full(self.base**3, -1, np.int32)
         self.place[known] = np.arange(len(known))
-        # runs of three, for a first look
-        runs = [self._runs(codes([m]))[0] for m in words]
-        run, mark = np.concatenate([np.empty(0, int), *runs]), np.repeat(np.arange(len(words)), [len(r) for r in runs])
-        pair = np.unique(run * max(len(words), 1) + mark)
-        pair = pair[pair >= len(words)]
-        known, size = np.unique(pair // max(len(words), 1), return_counts=True)
-        self.run_mark, self.run_end = pair % max(len(words), 1), np.cumsum(size)
-        self.run_first = self.run_end - size
-        self.run_place = np.full(self.base**3, -1, np.int32)
-        self.run_place[known] = np.arange(len(known))
-
-    def _runs(self, raw: np.ndarray) -> np.ndarray:
-        x = self.number[raw]
-        a, b, c = x[:, :-2], x[:, 1:-1], x[:, 2:]
-        return np.where((a > 0) & (b > 0) & (c > 0), (a * self.base + b) * self.base + c, 0)
-
-    def near(self, raw: np.ndarray) -> np.ndarray:
-        """Rows that share RUNS runs of three characters with one landmark, short ones one; others are unlike them all."""
-        m, need = len(self.words), RUNS if raw.shape[1] > SHORT else 1
-        at = self.run_place[self._runs(raw)]
-        some = np.flatnonzero((at >= 0).sum(axis=1) >= need)
-        row, column = np.nonzero(at[some] >= 0)
-        if need == 1 or not len(row):
-            return some
-        hit = at[some][row, column]
-        n = self.run_end[hit] - self.run_first[hit]
-        where = np.arange(n.sum()) + np.repeat(self.run_first[hit] - (np.cumsum(n) - n), n)
-        shared = np.bincount(np.repeat(row * m, n) + self.run_mark[where], minlength=len(some) * m).reshape(-1, m)
-        return some[shared.max(axis=1) >= need]
 
     def subsequences(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all subsequences of three of rows of characters, 0 for those no landmark can hold, and their weights."""
@@ -185,18 +155,18 @@ class Landmarks:
         return np.where(known, (x[:, i] * self.base + x[:, j]) * self.base + x[:, k], 0), weight
 
     def kernels(self, words: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of some of the words, and their normalised kernels with all landmarks."""
+        """Places of the words, some at a time, and their normalised kernels with all landmarks. Nothing is left out: what
+        doesn't hold a subsequence of a landmark has a kernel of zero."""
         m = len(self.words)
         for on, same in by_length(words, 2048):
-            raw = codes(same)
-            some = self.near(raw)
-            on, raw = on[some], raw[some]
-            if not len(on):
+            if not m:
+                yield on, np.zeros((len(on), 0))
                 continue
+            raw = codes(same)
             out = np.zeros(len(on) * m)
             t, w = self.subsequences(raw)
             row, column = np.nonzero(self.place[t] >= 0)
-            if len(row) and m:
+            if len(row):
                 hit = self.place[t[row, column]]
                 n = self.end[hit] - self.first[hit]
                 at = np.arange(n.sum()) + np.repeat(self.first[hit] - (np.cumsum(n) - n), n)
@@ -206,7 +176,7 @@ class Landmarks:
 
 
 def features(words: Sequence[str], landmarks: Sequence[str]) -> np.ndarray:
-    """Normalised kernels of words (rows) with landmarks (columns); words that aren't near any have zeros.
+    """Normalised kernels of words (rows) with landmarks (columns).
 
     The kernel is the inner product of weighted counts of subsequences; only those of landmarks matter."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
@@ -215,6 +185,13 @@ def features(words: Sequence[str], landmarks: Sequence[str]) -> np.ndarray:
     return out
 
 
+def _power(k: np.ndarray) -> np.ndarray:
+    out = k
+    for _ in range(POWER - 1):
+        out = out * k
+    return out
+
+
 @dataclass
 class Machine:
     """The decision function of units, a weighted sum of powers of their kernels with landmarks, and the logistic
@@ -228,7 +205,8 @@ class Machine:
     def decide(self, words: Sequence[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
         for on, k in self.landmarks.kernels(words):
-            out[on] += k**POWER @ self.beta
+            # summed row by row, in one order: a matrix product rounds by a row's place among the others
+            out[on] += (_power(k) * self.beta).sum(axis=1)
         return out
 
     def evidence(self, bags: Sequence[Sequence[float]]) -> np.ndarray:
@@ -243,7 +221,7 @@ class Machine:
         return out
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(evidence @ self.logistic, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip((evidence * self.logistic).sum(axis=1), -40, 40)))
 
     def score(self, texts: Sequence[str | None], known: dict[str, float]) -> np.ndarray:
         """Probabilities of texts, worked on together. `known` keeps the decisions on units for the next call."""
@@ -337,6 +315,13 @@ def _strengths(words: list[str], bags: list[np.ndarray], y: np.ndarray) -> tuple
     return strength, sorted(seeds, key=lambda u: (-strength[place[u]], u))
 
 
+def _stretched(unit: str, inserted: int, rng: np.random.Generator) -> str:
+    """A unit with characters put in behind some of its own, or behind each."""
+    own = len(unit) - 1
+    at = set(rng.permutation(own)[:inserted].tolist())
+    return unit[0] + "".join(c + _EXTRA[rng.integers(len(_EXTRA))] * (k in at) for k, c in enumerate(unit[1:]))
+
+
 def train(texts: Sequence[str], toxic: Sequence[int], landmarks: int = 240, rounds: int = 3, ridge: float = 1e-5, seed: int = 5) -> Machine:
     """Fit a machine on labelled texts.
 
@@ -375,11 +360,9 @@ def train(texts: Sequence[str], toxic: Sequence[int], landmarks: int = 240, roun
         on = values > 1e-6
         root = vectors[:, on] / np.sqrt(values[on])
         extra: Counter = Counter()
-        for i in plain_words:  # the same units with a character too many
-            for _ in range(3):
-                u = words[i]
-                at = int(rng.integers(1, len(u)))
-                extra[u[:at] + _EXTRA[rng.integers(len(_EXTRA))] + u[at:]] += 0.03 * max(positive[i], 1)
+        for i in plain_words:  # the same units with one or two characters too many, or one behind each
+            for inserted in (1, 1, 2, 2, 2, len(words[i])):
+                extra[_stretched(words[i], inserted, rng)] += SPREAD * max(positive[i], 1)
         x, label, count = [], [], []
         for sign, chosen, n in ((1.0, [*(words[i] for i in np.flatnonzero(positive)), *extra], np.array([*positive[positive > 0], *extra.values()])), (-1.0, [words[i] for i in np.flatnonzero(negative)], negative[negative > 0])):
             x.append(np.c_[features(chosen, marks) ** POWER @ root, np.ones(len(chosen))])

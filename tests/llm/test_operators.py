@@ -316,6 +316,31 @@ def test_scores_of_repeated_rows_and_empty_tables(spark):
     assert toxicity.score(df.limit(0), machine).count() == 0 and toxicity.keep_clean(df.limit(0), machine).count() == 0
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = toxic_rows(400, 6)
+    machine = toxicity.train([t for _, t, _ in rows[:300]], [y for _, _, y in rows[:300]])
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    one, many = (sorted((r.doc_id, r.score) for r in toxicity.score(df.repartition(n), machine).collect()) for n in (1, 13))
+    assert one == many
+
+
+def test_insults_with_two_characters_too_many():
+    rows = toxic_rows(600, 2)
+    machine = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows])
+    rnd = random.Random(7)
+    said = []
+    for word in ("zbuffoon", "kwretch", "pjackass"):
+        for _ in range(30):
+            w = word
+            for _ in range(2):
+                at = rnd.randrange(1, len(w))
+                w = w[:at] + rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") + w[at:]
+            said.append(f"a {w} here")
+    assert (machine.score(said, {}) >= 0.7).all()
+    # no word is left uncompared, whatever runs of characters it shares
+    assert (toxicity.features(["zbxufxfxoxon", "kwxrexch", "pjxacxkaxss"], ["zbuffoon", "kwretch", "pjackass"]).diagonal() > 0.2).all()
+
+
 def test_labels_of_one_class_only(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
     machine = toxicity.fit(df, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
