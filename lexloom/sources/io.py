@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .published import current, publish, read_published
+
 PAGES = "corpus_id STRING, page_no INT, text STRING"
 CHUNKS = "corpus_id STRING, chunk_id STRING, article_number STRING, content STRING, char_count INT"
 RECORDS = CHUNKS + ", embedding ARRAY<FLOAT>, embedding_model STRING, embedded_at TIMESTAMP"
@@ -38,11 +40,20 @@ def read_embeddings(spark: SparkSession, path: str, array_field: str | None = No
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = "corpus_id", report: DataFrame | None = None) -> None:
-    """Replace a table; the commit protocol leaves no half-written one. A report goes beside it."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    if report is not None:
-        report.write.mode("overwrite").json(f"{path.rstrip('/')}_report")
+    """Replace a table and its report in one step; read it by read_table(). Until then, and if the write fails, readers
+    see the old rows."""
+    publish(df, path, partition_by, report=report)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """What write_table() or a synchronised stream has published."""
+    return read_published(spark, path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame | None:
+    """The report of the published table, if it has one."""
+    name = (current(spark, path) or {}).get("report")
+    return spark.read.json(f"{path.rstrip('/')}/{name}") if name else None
 
 
 def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -81,6 +92,16 @@ def read_result_cache(spark: SparkSession, root: str, mode: str, schema: str) ->
     return found.select(F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+\.json$", 1).alias("run_id"), F.regexp_extract(path, r"([^/]+)\.json$", 1).alias("file_id"), "*")
 
 
-def compact(results: DataFrame, path: str, files: int = 1) -> None:
-    """Write many small files' rows as a few Parquet files, once."""
-    results.coalesce(files).write.mode("overwrite").parquet(path)
+def compact(results: DataFrame, table: str, key: str = "file_id", file_bytes: int = 128_000_000, buckets: int | None = None) -> int:
+    """Write many small files' rows as a table of the catalog, bucketed and sorted by `key`; its number of buckets.
+
+    One for each `file_bytes` of the sources, as the plan estimates them, which it can of files. Rows of one key are found in one bucket, and joins
+    by it don't move the table."""
+    if buckets is None:
+        size = int(str(results._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size > 2**60:
+            raise ValueError("the plan doesn't know the size of its sources; give the number of buckets")
+        buckets = max(1, -(-size // file_bytes))
+    dealt = results.repartition(buckets, key)
+    dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return buckets

@@ -195,9 +195,9 @@ def test_stream_sync(spark, tmp_path):
     spark.createDataFrame([rec("a", "1", "new"), rec("a", "2", "z")], io.RECORDS).write.mode("append").parquet(src)
     sync.stream_sync(spark, src, out, ck).awaitTermination()
     want = [("a", "1", "new"), ("a", "2", "z"), ("b", "1", "y")]
-    assert rows(spark.read.parquet(out), "corpus_id", "chunk_id", "content") == want
+    assert rows(io.read_table(spark, out), "corpus_id", "chunk_id", "content") == want
     sync.merge_batch(spark, spark.read.schema(io.RECORDS).parquet(src).where("content <> 'x'"), out)
-    assert rows(spark.read.parquet(out), "corpus_id", "chunk_id", "content") == want
+    assert rows(io.read_table(spark, out), "corpus_id", "chunk_id", "content") == want
 
 
 # --- sources
@@ -218,7 +218,7 @@ def test_sources(spark, tmp_path):
     got = io.read_result_cache(spark, str(tmp_path / "cache"), "routing", "score int")
     assert rows(got, "run_id", "file_id", "score") == [("run1", "q7", 3)]
     io.write_table(spark.createDataFrame([("a", 1, "t")], io.PAGES), str(tmp_path / "t"), report=spark.range(1))
-    assert io.read_pages(spark, str(tmp_path / "t")).count() == 1
+    assert io.read_table(spark, str(tmp_path / "t")).count() == 1 and io.read_report(spark, str(tmp_path / "t")).count() == 1
 
 
 # --- curation
