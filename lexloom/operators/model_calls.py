@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -49,6 +50,12 @@ def embed_chunks(chunks: DataFrame, embed: Embed, batch: int = 128, text: str =
     return chunks.mapInPandas(run, schema)
 
 
+def shared_words(pairs: list[tuple[str, str]]) -> list[float]:
+    """A scorer without a model: the shared share of the distinct lower-case words of two texts, for a batch of them."""
+    sets = [tuple(set(re.findall("[^ \t-\r]+", t.lower())) for t in p) for p in pairs]
+    return [len(a & b) / len(a | b) if a | b else 0.0 for a, b in sets]
+
+
 def score_pairs(pairs: DataFrame, score: Score | None = None, batch: int = 128, question: str = "question", content: str = "content") -> DataFrame:
     """pairs with rerank_score: by the callable, or by the shared share of distinct lower-case words."""
     if score is None:

@@ -14,8 +14,8 @@ from ..sources.shared import stored
 from .bm25 import best_chunks
 
 KEY = ("corpus_id", "chunk_id")
-#: Rows of a unit of work of the block product, about, and questions that it takes at once.
-BLOCK, ASKED = 16_384, 1024
+#: Rows of a unit of work of the block product at most, bytes of the vectors of either side of it, and questions that it takes at once.
+BLOCK, TILE_BYTES, ASKED = 16_384, 16_000_000, 1024
 
 
 def _ranked(df: DataFrame, by: Sequence[str], *order: Column | str) -> DataFrame:
@@ -37,6 +37,12 @@ def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), -1)
 
 
+def _tiles(vectors: DataFrame) -> int:
+    """Blocks that a table of vectors is dealt to."""
+    rows, longest = vectors.agg(F.count("*"), F.max(F.size("vector"))).first()
+    return max(1, -(-rows // max(1, min(BLOCK, TILE_BYTES // (8 * max(longest or 1, 1))))))
+
+
 def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, corpora: str | None = None, exclude: tuple[str, str] | None = None, by_corpus: bool = False) -> DataFrame:
     """(question_id, rank, corpus_id, chunk_id, distance): the k nearest chunks of each question; with
     `by_corpus` the k nearest of each corpus for each question, ranked within it.
@@ -45,10 +51,9 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, corpora: str |
     all). Ties go to smaller ids. Zero vectors have no distance and don't rank. `exclude`: columns of
     questions and chunks whose equal values don't pair.
 
-    Chunks are dealt to blocks of about BLOCK rows, questions to blocks of their own; each pair of
+    Chunks and questions are dealt to blocks of about TILE_BYTES of vectors, whatever their dimensions, and BLOCK rows; each pair of
     blocks is one matrix product in a task, which keeps k rows a question (or corpus of one). Nothing is broadcast."""
-    n_blocks = max(1, -(-chunks.count() // BLOCK))
-    q_blocks = max(1, -(-questions.count() // (8 * BLOCK)))
+    n_blocks, q_blocks = _tiles(chunks), _tiles(questions)
     deal = lambda c, n: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
     far = F.lit(None).cast("string")
     rows = chunks.select(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import chunking, model_calls, quality, store, structure
-from ..sources.io import article_registry
+from ..sources.io import article_registry, read_table
+from ..sources.shared import shared_folder
+from ..streaming import sync
 from .bindings import prefix, sql, table, view
 from .retrieval_queries import tokens_sql
 
@@ -256,6 +260,25 @@ def d5c(spark, d):
 
 D5C = _TOK + " SELECT corpus_id, place, chunk_id, t AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY t DESC, chunk_id) AS place FROM c) WHERE place <= 10"
 
+
+
+def d5d(spark, d):
+    """Texts under their hash, with their lengths in bytes in place of characters: copies repeat an id, letters with accents differ."""
+    q = table(spark, d, _DOCS).select(F.col("lang").alias("corpus_id"), F.md5("text").alias("chunk_id"), F.col("text").alias("content"), F.octet_length("text").alias("char_count"))
+    return chunking.chunk_anomalies(q)
+
+
+D5D = """WITH c AS (SELECT lang AS corpus_id, md5(text) AS chunk_id, strlen(text) AS stored, length(text) AS n FROM documents)
+ SELECT corpus_id, chunk_id, 'char_count_mismatch' AS type, concat('charCount=', stored, ' but content.length=', n) AS message FROM c WHERE stored <> n
+ UNION ALL SELECT corpus_id, chunk_id, 'duplicate_chunk_id', concat('Duplicate chunkId (occurrence ', k, ')') FROM (SELECT corpus_id, chunk_id, row_number() OVER (PARTITION BY corpus_id, chunk_id) AS k FROM c) WHERE k > 1"""
+
+
+def d6(spark, d):
+    return chunking.chunk_token_comparison(_counted(spark, d).where("content <> ''"))
+
+
+D6 = _TOK.replace("AS t FROM", "AS t, length(text) AS n FROM") + ", v AS (SELECT *, round(n * 1.0 / t, 4) AS r FROM c WHERE n > 0) SELECT corpus_id, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS total_chars, CAST(sum(t) AS BIGINT) AS total_tokens, round(avg(n), 2) AS avg_chars, " + ", ".join(f"round(quantile_cont(n, {q}), 2) AS {x}" for x, q in (("p50_chars", 0.5), ("p95_chars", 0.95))) + ", CAST(max(n) AS DOUBLE) AS max_chars, round(avg(t), 2) AS avg_tokens, " + ", ".join(f"round(quantile_cont(t, {q}), 2) AS {x}" for x, q in (("p50_tokens", 0.5), ("p95_tokens", 0.95), ("p99_tokens", 0.99))) + ", CAST(max(t) AS DOUBLE) AS max_tokens, round(avg(r), 2) AS avg_chars_per_token, round(sum(n) * 1.0 / sum(t), 4) AS global_chars_per_token, " + ", ".join(f"count(*) FILTER (t >= {x}) AS ge_{x}, round(100.0 * count(*) FILTER (t >= {x}) / count(*), 2) AS pct_ge_{x}" for x in chunking.THRESHOLDS if x >= 1000) + " FROM v GROUP BY ROLLUP (corpus_id)"
+
 # --- checks
 
 
@@ -445,14 +468,33 @@ def k1(spark, d):
 def k2(spark, d):
     pairs = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("content"))
     first = pairs.where("turn = 0").groupBy("conv_id").agg(F.min("content").alias("question"))
-    return model_calls.score_pairs(pairs.join(first, "conv_id")).select("conv_id", "turn", F.round("rerank_score", 6).alias("rerank_score"))
+    return model_calls.score_pairs(pairs.join(first, "conv_id"), model_calls.shared_words).select("conv_id", "turn", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+K2 = """WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS c FROM conversations), f AS (SELECT conv_id, min(c) AS q FROM p WHERE turn = 0 GROUP BY conv_id),
+ w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(q), '[^ \\t-\\r]+')) AS a, list_distinct(regexp_extract_all(lower(c), '[^ \\t-\\r]+')) AS b FROM p JOIN f USING (conv_id))
+ SELECT conv_id, turn, CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) * 1.0 / (len(a) + len(b) - len(list_intersect(a, b))), 6) END AS rerank_score FROM w"""
+
+
+def k3(spark, d):
+    """Two batches of records through the stream: all documents under an old text, then every one as it is."""
+    docs = table(spark, d, _DOCS).where("doc_id IS NOT NULL")
+    record = lambda content, at: docs.select(F.col("lang").alias("corpus_id"), F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("chunk_id"), F.col("doc_id").cast("string").alias("article_number"), content.alias("content"), F.length(content).cast("int").alias("char_count"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"), F.lit("m").alias("embedding_model"), F.lit(at).cast("timestamp").alias("embedded_at"))
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for text_, at in ((F.lit("old"), "2024-01-01 00:00:00"), (F.col("text"), "2024-01-02 00:00:00")):
+        record(text_, at).write.mode("append").parquet(f"{root}/in")
+        sync.stream_sync(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint").awaitTermination()
+    return read_table(spark, f"{root}/store").select("corpus_id", "chunk_id", "char_count", F.md5("content").alias("content_md5"), F.date_format("embedded_at", "yyyy-MM-dd").alias("embedded_on"))
+
+
+K3 = "SELECT lang AS corpus_id, concat(doc_id, '#0') AS chunk_id, CAST(length(text) AS INTEGER) AS char_count, md5(text) AS content_md5, '2024-01-02' AS embedded_on FROM documents"
 
 
 QUERIES = {
     "a7_article_registry": (a7, A7), "b1_clean_page_text": (b1, B1), "b4_footer_dates": (b4, B4), "b5_blank_pages": (b5, B5), "b7_article_lines": (b7, B7), "b10_article_format": (b10, B10), "b12_lexical_tokens": (b12, B12), "b13_normalize_question": (b13, B13),
     "b16_chunk_ids": (b16, B16), "c1_page_lines": (c1, C1), "c6_annotate_oversized": (c6, C6), "e9_check_gold": (e9, E9), "e10_check_distribution": (e10, E10), "e12_check_results": (e12, E12),
     "b14_jaccard": (b14, B14), "b15_neighbors": (b15, B15), "b19_cache_key": (b19, B19), "b21_routing_decision": (b21, B21), "b23_parse_judge": (b23, B23), "c2_parse_articles": (c2, C2), "c7_content_stats": (c7, C7), "c8_ingestion_report": (c8, C8), "c9_audit_corpus": (c9, C9),
-    "c10_diff_articles": (c10, C10), "d3_chunk_articles": (d3, None), "d4_chunking_stats": (d4, None), "d5_token_distribution": (d5, D5), "d5_token_buckets": (d5b, D5B), "d5_largest_chunks": (d5c, D5C), "e1_duplicate_keys": (e1, E1), "e2_check_chunks": (e2, E2), "e3_check_records": (e3, E3),
+    "c10_diff_articles": (c10, C10), "d3_chunk_articles": (d3, None), "d4_chunking_stats": (d4, None), "d5_token_distribution": (d5, D5), "d5_token_buckets": (d5b, D5B), "d5_largest_chunks": (d5c, D5C), "d5_anomalies": (d5d, D5D), "d6_token_comparison": (d6, D6), "e1_duplicate_keys": (e1, E1), "e2_check_chunks": (e2, E2), "e3_check_records": (e3, E3),
     "e4_check_vectors": (e4, E4), "e5_align_batch": (e5, E5), "e6_store_audit": (e6, E6), "e7_store_audit_global": (e7, E7), "e11_check_report": (e11, E11), "f1_upsert": (f1, F1), "f2_obsolete": (f2, F2), "f3_change_log": (f3, F3), "f3_sync_corpus": (f3b, F3B),
-    "k1_embed_chunks": (k1, None), "k2_score_pairs": (k2, None),
+    "k1_embed_chunks": (k1, None), "k2_score_pairs": (k2, K2), "k3_stream_sync": (k3, K3),
 }

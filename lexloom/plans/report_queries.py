@@ -278,7 +278,7 @@ def j2(spark, d):
     return g.select("component", F.size("members").alias("members"), F.round("max_similarity", 6).alias("max_similarity"))
 
 
-J2 = _J1.replace("WITH q", "WITH RECURSIVE q", 1) + """, ed AS (SELECT a, b FROM du UNION SELECT b, a FROM du), re AS (SELECT a AS n, a AS m FROM ed UNION SELECT ed.b, re.m FROM re JOIN ed ON ed.a = re.n WHERE re.m < ed.b),
+J2 = _J1.replace("WITH q", "WITH RECURSIVE q", 1).replace(" du AS (", " du AS MATERIALIZED (") + """, ed AS MATERIALIZED (SELECT a, b FROM du UNION SELECT b, a FROM du), re AS (SELECT a AS n, a AS m FROM ed UNION SELECT ed.b, re.m FROM re JOIN ed ON ed.a = re.n WHERE re.m < ed.b),
  cp AS (SELECT n, min(m) AS c FROM re GROUP BY n) SELECT c AS component, count(*) AS members, any_value(s) AS max_similarity FROM cp JOIN (SELECT c AS c2, round(max(similarity), 6) AS s FROM du JOIN cp ON cp.n = du.a GROUP BY c) x ON x.c2 = cp.c GROUP BY c"""
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, lexical_tokens
+from ..functions.text import STOP_WORDS, lexical_tokens, parse_context
 from ..operators import bm25, context, metrics, retrieval
 from .bindings import prefix, spread, sql, table, view
 
@@ -179,6 +179,16 @@ G12 = _AUDIT + """, o AS (SELECT *, row_number() OVER (PARTITION BY question_id
  SELECT question_id, md5(string_agg(concat('[Source ', source_id, ' — ', corpus_id, ' — Article ', article_number, ' — chunk ', length(chunk_id), ']', chr(10), 'text of ', chunk_id), concat(chr(10), chr(10)) ORDER BY source_id)) AS context_md5, count(*) AS sources FROM o GROUP BY question_id"""
 
 
+def b18(spark, d):
+    """Contexts are built and read back."""
+    kept = context.context_filter(_filter_input(spark, d)).withColumn("chunk_index", F.length("chunk_id").cast("int")).withColumn("content", F.concat(F.lit("text of "), F.col("chunk_id"), F.lit("\nand a second line")))
+    return parse_context(context.build_context(kept), "context", ("question_id",))
+
+
+B18 = _AUDIT + """, o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS source_id FROM n WHERE kept)
+ SELECT question_id, CAST(source_id AS INTEGER) AS source_id, corpus_id AS code_name, article_number, CAST(length(chunk_id) AS INTEGER) AS chunk_index, concat('text of ', chunk_id, chr(10), 'and a second line') AS content FROM o"""
+
+
 def g13(spark, d):
     asked, chunks = _vectors(spark, d)
     n = F.floor(F.col("question_id") / 20)
@@ -396,7 +406,7 @@ def h17(spark, d):
 H17 = sql("""SELECT variant, count(*) AS answers, round(avg(correctness), 6) AS mean_correctness, round(avg(completeness), 6) AS mean_completeness, round(avg(groundedness), 6) AS mean_groundedness, round(avg(question_id * 37 % 5000), 6) AS mean_context_chars, round(quantile_cont(question_id * 37 % 5000, 0.95), 6) AS p95_context_chars, count(*) FILTER (correctness >= 3 AND groundedness >= 3) AS passing FROM answers GROUP BY variant""", "answers")
 
 QUERIES = {
-    "g1_vector_topk": (g1, G1), "g2_quota_topk": (g2, G2), "g3_replay_depths": (g3, G3), "g4_bm25_index": (g4, G4), "g5_bm25_topk": (g5, G5), "g6_hybrid_union": (g6, G6), "g7_rrf": (g7, G7), "g8_rank_chunks": (g8, G8),
+    "b18_parse_context": (b18, B18), "g1_vector_topk": (g1, G1), "g2_quota_topk": (g2, G2), "g3_replay_depths": (g3, G3), "g4_bm25_index": (g4, G4), "g5_bm25_topk": (g5, G5), "g6_hybrid_union": (g6, G6), "g7_rrf": (g7, G7), "g8_rank_chunks": (g8, G8),
     "g9_apply_rerank": (g9, G9), "g10_context_filter": (g10, G10), "g11_filter_audit": (g11, G11), "g12_build_context": (g12, G12), "g13_answer_contexts": (g13, G13), "g14_neighbor_window": (g14, G14),
     "h1_dedupe_articles": (h1, H1), "h2_first_gold_rank": (_first, H2), "h3_recall_any": (h3, H3), "h4_retrieval_snapshot": (h4, H4), "h5_coverage": (h5, H5), "h6_depth_curve": (h6, H6), "h6_marginal_gains": (h6b, H6B), "h7_gold_depth": (h7, H7),
     "h8_gold_contribution": (h8, H8), "h9_variant_summary": (h9, H9), "h10_stage_funnel": (h10, H10), "h11_rerank_effect": (h11, H11), "h12_strategy_balance": (h12, H12), "h13_threshold_grid": (h13, H13), "h14_corpus_loss_class": (h14, H14),

@@ -70,3 +70,24 @@ def test_hybrid_depths_are_fifty_and_fifty(spark):
     # a global question has no hits by words, which corpus b alone could give
     context.answer_contexts(asked.withColumn("explicit", F.array().cast("array<string>")), chunks, scores, strategy="hybrid", blocks=blocks)
     assert {r.corpus_id: r["count"] for r in seen[1]} == {"a": 50}
+
+
+def test_tiles_of_long_vectors_are_small(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    chunks = spark.createDataFrame([("a", f"{i:04}", rnd.normal(size=3072).tolist()) for i in range(300)], "corpus_id string, chunk_id string, vector array<double>").cache()
+    asked = spark.createDataFrame([(i, rnd.normal(size=3072).tolist()) for i in range(40)], "question_id long, vector array<double>").cache()
+    want = sorted(map(tuple, retrieval.vector_topk(asked, chunks, 3).select("question_id", "rank", "chunk_id").collect()))
+    monkeypatch.setattr(retrieval, "TILE_BYTES", 1_000_000)
+    assert retrieval._tiles(chunks) == 8 and retrieval._tiles(asked) == 1
+    seen = spark.sparkContext.accumulator(0)
+    plain = retrieval.matrix
+
+    def matrix(vectors):
+        rows = plain(vectors)
+        if rows.nbytes > 3_000_000:  # hashes deal unevenly
+            seen.add(1)
+        return rows
+
+    monkeypatch.setattr(retrieval, "matrix", matrix)
+    assert sorted(map(tuple, retrieval.vector_topk(asked, chunks, 3).select("question_id", "rank", "chunk_id").collect())) == want
+    assert seen.value == 0
