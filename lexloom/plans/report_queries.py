@@ -267,7 +267,8 @@ def j1(spark, d):
 
 _J1 = f"""WITH q AS (SELECT doc_id AS id, concat(lang, '/', doc_id % 3) AS gk, {NORMALIZED} AS nt FROM documents),
  fi AS (SELECT *, min(id) OVER (PARTITION BY nt) AS f FROM q), one AS (SELECT nt, gk, min(id) AS id, list_distinct([x FOR x IN string_split(nt, ' ') IF length(x) > 2]) AS t FROM q GROUP BY nt, gk),
- pr AS (SELECT a.id AS a, b.id AS b, a.gk = b.gk AS sg, len(list_intersect(a.t, b.t)) * 1.0 / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS s FROM one a JOIN one b ON a.id < b.id AND a.nt <> b.nt WHERE len(a.t) > 0 AND len(b.t) > 0),
+ le AS (SELECT a.id AS a, b.id AS b, a.gk = b.gk AS sg, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS n FROM one a JOIN one b ON a.id < b.id AND a.nt <> b.nt AND least(len(a.t), len(b.t)) >= 0.75 * greatest(len(a.t), len(b.t)) WHERE len(a.t) > 0 AND len(b.t) > 0),
+ pr AS (SELECT a, b, sg, i * 1.0 / (n - i) AS s FROM le),
  em AS (SELECT id, min(id) OVER () AS f FROM one WHERE len(t) = 0),
  du AS (SELECT f AS a, id AS b, 'identical normalized question text' AS reason, 1.0 AS similarity FROM fi WHERE id <> f UNION ALL SELECT a, b, CASE WHEN s >= 0.92 THEN 'high lexical similarity' ELSE 'same gold articles with similar wording' END, round(s, 6) FROM pr WHERE s >= 0.92 OR (s >= 0.75 AND sg) UNION ALL SELECT f, id, 'high lexical similarity', 1.0 FROM em WHERE id <> f)"""
 J1 = _J1 + " SELECT * FROM du"
