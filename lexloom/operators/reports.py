@@ -121,16 +121,28 @@ def failure_counts(stages: DataFrame) -> DataFrame:
 LOSSES = ("R0", "R1", "R2", "R3", "R4")
 
 
+def _loss(s: Sequence[Column]) -> Column:
+    return F.when(s[3] & s[2] & s[1] & s[0], F.lit(None)).when(s[3], "R4").when(~s[0], "R0").when(~s[1], "R1").when(~s[2], "R2").otherwise("R3")
+
+
 def gold_loss(gold: DataFrame, retrieval: DataFrame, rerank: DataFrame, filtered: DataFrame, final: DataFrame) -> DataFrame:
     """gold with loss: R0 not retrieved, R1 lost at the rerank, R2 at the filter, R3 in the final sources, R4 in
-    the final ones but not before them, null if never lost."""
+    the final ones but not before them, null if never lost. Stages are lists of their own."""
+    keys = ["question_id", *ARTICLE]
+    lists = [df.select(*keys, F.lit(i).alias("stage")) for i, df in enumerate((retrieval, rerank, filtered, final))]
+    every = lists[0]
+    for x in lists[1:]:
+        every = every.unionByName(x)
+    return gold_loss_of(gold, every, *[F.col("stage") == i for i in range(4)])
+
+
+def gold_loss_of(gold: DataFrame, lists: DataFrame, retrieved: Column, reranked: Column, filtered: Column, final: Column) -> DataFrame:
+    """gold_loss() of stages that are parts of one table, each told by a condition on its rows: the table is read and shuffled
+    once, to a row for each of its articles that says which stages hold it."""
     keys = ["question_id", *ARTICLE]
-    out = gold.select(*keys).distinct()
-    for name, df in (("s0", retrieval), ("s1", rerank), ("s2", filtered), ("s3", final)):
-        out = out.join(df.select(*keys, F.lit(True).alias(name)).distinct(), keys, "left")
-    s = [F.col(f"s{i}").isNotNull() for i in range(4)]
-    loss = F.when(s[3] & s[2] & s[1] & s[0], F.lit(None)).when(s[3], "R4").when(~s[0], "R0").when(~s[1], "R1").when(~s[2], "R2").otherwise("R3")
-    return out.select(*keys, loss.alias("loss"))
+    flags = lists.groupBy(*keys).agg(*[F.max(F.coalesce(c, F.lit(False))).alias(f"s{i}") for i, c in enumerate((retrieved, reranked, filtered, final))])
+    out = gold.select(*keys).distinct().join(flags, keys, "left")
+    return out.select(*keys, _loss([F.coalesce(f"s{i}", F.lit(False)) for i in range(4)]).alias("loss"))
 
 
 def primary_loss(losses: DataFrame) -> DataFrame:

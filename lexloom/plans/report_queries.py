@@ -118,8 +118,8 @@ I8 = _ROUTING + prefix("rankings", "answers").replace("WITH ", ", ", 1) + """, v
 
 def _losses(spark, d):
     r = view(spark, d, "rankings").where("variant = 'vector'")
-    final = r.where("rank <= 2 AND question_id % 4 <> 0").unionByName(r.where("rank = 5 AND question_id % 6 = 1"))
-    return reports.gold_loss(view(spark, d, "gold"), r, r.where("rank <= 4"), r.where("rank <= 2"), final)
+    final = F.expr("rank <= 2 AND question_id % 4 <> 0 OR rank = 5 AND question_id % 6 = 1")
+    return reports.gold_loss_of(view(spark, d, "gold"), r, F.lit(True), F.col("rank") <= 4, F.col("rank") <= 2, final)
 
 
 _LOSS = prefix("rankings", "gold", "questions") + """, f AS (SELECT g.question_id, g.corpus_id, g.article_number, coalesce(bool_or(true) FILTER (r.rank IS NOT NULL), false) AS a, coalesce(bool_or(r.rank <= 4), false) AS b, coalesce(bool_or(r.rank <= 2), false) AS c, coalesce(bool_or((r.rank <= 2 AND g.question_id % 4 <> 0) OR (r.rank = 5 AND g.question_id % 6 = 1)), false) AS e
