@@ -221,6 +221,43 @@ G13 = f"""WITH e AS (SELECT vec_id, vec_id // 20 AS t, CAST(embedding AS DOUBLE[
  SELECT q.question_id, q.decision, b.context_md5, b.sources, CASE WHEN q.decision = 'abstain' THEN '{context.ABSTAINED}' END AS answer FROM q LEFT JOIN b USING (question_id)"""
 
 
+def g13h(spark, d):
+    """Vectors beside the documents of the same number, asked with the first twelve words of a document."""
+    asked, chunks = _vectors(spark, d)
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("chunk_id"), lexical_tokens("text").alias("tokens"))
+    both = chunks.join(docs, "chunk_id")
+    n = F.floor(F.col("question_id") / 20)
+    none = F.array().cast("array<string>")
+    asked = asked.join(docs.select(F.col("chunk_id").alias("self"), F.slice("tokens", 1, 12).alias("tokens")), "self")
+    asked = asked.select("question_id", "vector", "tokens", F.when(n % 3 == 0, none).otherwise(F.coalesce("corpora", F.array(F.lit("c1")))).alias("predicted"), F.when(n % 7 == 0, none).when(n % 7 == 1, F.array(F.lit("c3"), F.lit("c1"))).alias("explicit"))
+    texts = both.select("corpus_id", "chunk_id", F.col("chunk_id").alias("article_number"), F.lit(0).alias("chunk_index"), F.concat(F.lit("vector "), F.col("chunk_id")).alias("content"), "vector")
+
+    def scores(found: DataFrame) -> DataFrame:
+        some = found.where("(question_id div 20 + cast(chunk_id AS bigint)) % 5 <> 0")
+        return some.select("question_id", "corpus_id", "chunk_id", (F.pmod(F.col("question_id") * 31 + F.col("chunk_id").cast("long") * 17, F.lit(100)) / 100.0).alias("rerank_score"))
+
+    blocks = bm25.bm25_blocks(both, bm25.question_terms(asked))
+    out = context.answer_contexts(asked, texts, scores, strategy="hybrid", blocks=blocks)
+    return out.select("question_id", "decision", F.md5("context").alias("context_md5"), F.size("sources").alias("sources"), "answer")
+
+
+_G13_END = G13[G13.index(" c AS (SELECT *, CASE") :]
+G13H = f"""WITH e AS (SELECT vec_id, vec_id // 20 AS t, CAST(embedding AS DOUBLE[]) AS v, concat('c', CAST(label % 4 AS VARCHAR)) AS corpus_id, {tokens_sql('text')} AS tk FROM embeddings JOIN documents ON doc_id = vec_id),
+ q AS (SELECT vec_id AS question_id, t, v, tk[1:12] AS tk, CASE WHEN t % 7 = 0 THEN 'global' WHEN t % 7 = 1 THEN 'routed' WHEN t % 3 = 0 THEN 'abstain' ELSE 'routed' END AS decision,
+  CASE WHEN t % 7 = 0 THEN NULL WHEN t % 7 = 1 THEN ['c3', 'c1'] WHEN t % 3 = 0 THEN NULL WHEN t % 2 = 0 THEN ['c0', 'c2'] ELSE ['c1'] END AS corpora FROM e WHERE vec_id % 20 = 0),
+ s AS (SELECT q.question_id, q.t, q.corpora, e.corpus_id, e.vec_id, CAST(e.vec_id AS VARCHAR) AS chunk_id, 1 - list_cosine_similarity(q.v, e.v) AS d FROM q JOIN e ON q.decision = 'global' OR list_contains(q.corpora, e.corpus_id)),
+ i AS (SELECT *, row_number() OVER (PARTITION BY question_id, corpus_id ORDER BY d, chunk_id) AS n FROM s),
+ ve AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, corpus_id, chunk_id) AS k FROM i WHERE n <= ceil(50.0 / coalesce(len(corpora), 1))),
+ tf AS (SELECT vec_id, corpus_id, len, term, count(*) AS tf FROM (SELECT vec_id, corpus_id, len(tk) AS len, unnest(tk) AS term FROM e) GROUP BY ALL), df AS (SELECT corpus_id, term, count(*) AS df FROM tf GROUP BY ALL), st AS (SELECT corpus_id, count(*) AS docs, avg(len(tk)) AS mean FROM e GROUP BY ALL),
+ qt AS (SELECT question_id, t, corpora, term, count(*) AS qtf FROM (SELECT question_id, t, corpora, unnest(tk) AS term FROM q WHERE decision = 'routed') GROUP BY ALL),
+ sc AS (SELECT question_id, t, corpora, tf.corpus_id, vec_id, CAST(vec_id AS VARCHAR) AS chunk_id, -round(sum(qtf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS d
+  FROM qt JOIN tf USING (term) JOIN df ON df.term = tf.term AND df.corpus_id = tf.corpus_id JOIN st ON st.corpus_id = tf.corpus_id WHERE list_contains(corpora, tf.corpus_id) GROUP BY ALL),
+ bi AS (SELECT *, row_number() OVER (PARTITION BY question_id, corpus_id ORDER BY d, chunk_id) AS n FROM sc), bm AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, corpus_id, chunk_id) AS k FROM bi WHERE n <= ceil(50.0 / len(corpora))),
+ un AS (SELECT 0 AS z, question_id, t, corpora, corpus_id, vec_id, chunk_id, k FROM ve WHERE k <= 50 UNION ALL SELECT 1, question_id, t, corpora, corpus_id, vec_id, chunk_id, k FROM bm WHERE k <= 50),
+ fi AS (SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY z) AS y FROM un), f AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY z, k, corpus_id, chunk_id) AS old FROM fi WHERE y = 1),
+{_G13_END.replace("FROM f WHERE old <= 20)", "FROM f)")}"""
+
+
 def _first(spark, d):
     return metrics.first_gold_rank(view(spark, d, "rankings"), view(spark, d, "gold"))
 
@@ -407,7 +444,7 @@ H17 = sql("""SELECT variant, count(*) AS answers, round(avg(correctness), 6) AS
 
 QUERIES = {
     "b18_parse_context": (b18, B18), "g1_vector_topk": (g1, G1), "g2_quota_topk": (g2, G2), "g3_replay_depths": (g3, G3), "g4_bm25_index": (g4, G4), "g5_bm25_topk": (g5, G5), "g6_hybrid_union": (g6, G6), "g7_rrf": (g7, G7), "g8_rank_chunks": (g8, G8),
-    "g9_apply_rerank": (g9, G9), "g10_context_filter": (g10, G10), "g11_filter_audit": (g11, G11), "g12_build_context": (g12, G12), "g13_answer_contexts": (g13, G13), "g14_neighbor_window": (g14, G14),
+    "g9_apply_rerank": (g9, G9), "g10_context_filter": (g10, G10), "g11_filter_audit": (g11, G11), "g12_build_context": (g12, G12), "g13_answer_contexts": (g13, G13), "g13_hybrid_contexts": (g13h, G13H), "g14_neighbor_window": (g14, G14),
     "h1_dedupe_articles": (h1, H1), "h2_first_gold_rank": (_first, H2), "h3_recall_any": (h3, H3), "h4_retrieval_snapshot": (h4, H4), "h5_coverage": (h5, H5), "h6_depth_curve": (h6, H6), "h6_marginal_gains": (h6b, H6B), "h7_gold_depth": (h7, H7),
     "h8_gold_contribution": (h8, H8), "h9_variant_summary": (h9, H9), "h10_stage_funnel": (h10, H10), "h11_rerank_effect": (h11, H11), "h12_strategy_balance": (h12, H12), "h13_threshold_grid": (h13, H13), "h14_corpus_loss_class": (h14, H14),
     "h15_score_gaps": (h15, H15), "h16_threshold_sensitivity": (h16, H16), "h17_variant_report": (h17, H17),
