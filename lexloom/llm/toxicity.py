@@ -410,8 +410,10 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3600, 1200)) -> Machine:
-    """Train on at most most[0] clean and most[1] toxic labelled documents (one row for each id)."""
-    rows = training_rows(docs, labels, held_out(), most).dropDuplicates(["__doc"]).collect()
+    """Train on at most most[0] clean and most[1] toxic labelled documents. Of an id's several texts, the one of the least hash is
+    taken, so that the machine doesn't depend on how rows are dealt."""
+    least = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
+    rows = training_rows(docs, labels, held_out(), most).groupBy("__doc").agg(least, F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["__doc"])
     return train([r.text for r in rows], [r.toxic for r in rows])
 
