@@ -9,17 +9,25 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from .common import batches, give_back
+
 #: The split pattern of byte-level BPE, as in the tokenizer's own description.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a Python worker keeps.
 KEPT_WORDS = 400_000
+_FIELDS = ["doc_id long", "start long", "length long", "ids_crc32 long", "doc_tokens long", "sequence_id long", "offset long", "bucket int", "ids array<int>"]
+_NAMES = [x.split()[0] for x in _FIELDS]
+#: Bytes of text whose pieces are held and returned together.
+TOGETHER = 1_000_000
 #: Where a cut before a blank changes tokens: a blank after white space and before another or the end.
 _RUN = re.compile(r"\s (?: |$)")
 
@@ -100,39 +108,46 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
     its partition and the piece's number there."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
-    schema += ", ids array<int>" * with_ids
-    names = [x.split()[0] for x in schema.split(", ")]
+    schema = ", ".join(_FIELDS if with_ids else _FIELDS[:-1])
     end = array("I", [end_id]).tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         bpe, number = byte_bpe(tokenizer), TaskContext.get().partitionId() << 33
         for batch in it:
-            rows: list[tuple] = []
-            blobs: list[bytes] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = bpe.ids(text or "") + end
-                total, start, view = len(ids) // 4, 0, memoryview(ids)
-                for length in binary_lengths(total, longest):
-                    piece = view[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, start, length, zlib.crc32(piece), total, number, 0, length.bit_length() - 1))
-                    if with_ids:
-                        blobs.append(bytes(piece))
-                    start += length
-                    number += 1
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 8
-            columns[7] = columns[7].cast(pa.int32())
-            if with_ids:
-                values = pa.Array.from_buffers(pa.int32(), sum(map(len, blobs)) // 4, [None, pa.py_buffer(b"".join(blobs))])
-                columns.append(pa.ListArray.from_arrays(pa.array([0, *_sums(len(b) // 4 for b in blobs)], pa.int32()), values))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part in bounded(batch):
+                rows, ids = _pieces(part, bpe, end, longest, number)
+                number += len(rows)
+                yield _record_batch(rows, ids if with_ids else None)
+        bpe.words.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _sums(lengths) -> list[int]:
-    out, total = [], 0
-    for n in lengths:
-        total += n
-        out.append(total)
-    return out
+def bounded(batch: pa.RecordBatch, limit: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of ids and texts that hold `limit` bytes of text or a single longer one, as a batch may hold very many."""
+    for first, last in batches(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), limit):
+        yield batch.slice(first, last - first)
+
+
+def _pieces(docs: pa.RecordBatch, bpe: ByteBpe, end: bytes, longest: int, number: int) -> tuple[list[tuple], list[bytes]]:
+    """Rows of all pieces, numbered from `number` on, and each document's ids."""
+    rows, texts = [], []
+    for doc_id, text in zip(docs.column(0).to_pylist(), docs.column(1).to_pylist(), strict=True):
+        ids = bpe.ids(text or "") + end
+        total, start, view = len(ids) // 4, 0, memoryview(ids)
+        for length in binary_lengths(total, longest):
+            rows.append((doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), total, number, 0, length.bit_length() - 1))
+            start += length
+            number += 1
+        texts.append(ids)
+    return rows, texts
+
+
+def _record_batch(rows: list[tuple], ids: list[bytes] | None) -> pa.RecordBatch:
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+    columns[7] = columns[7].cast(pa.int32())
+    if ids is not None:
+        values = pa.Array.from_buffers(pa.int32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))])
+        columns.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(r[2] for r in rows)], pa.int32()), values))
+    return pa.RecordBatch.from_arrays(columns, names=_NAMES[: len(columns)])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
-from .common import batches, id_key, mix, powers, shuffle_partitions, utf8
+from .common import batches, give_back, id_key, mix, powers, shuffle_partitions, utf8
 
 WIDTH, GRAM = 50, 18
 #: Anchors with more classes than this have their strings sent one by one, under their own hashes.
@@ -393,6 +393,7 @@ def _masks(code: np.ndarray, ids: np.ndarray, at: np.ndarray, run: np.ndarray, c
 
 def _sorted_masks(table: pa.Table) -> pa.Table:
     """For each context of a part: which of its strings an earlier document's context holds, as bits."""
+    give_back()
     rows = table.to_pylist()
     out = []
     contexts = [r for r in rows if r["kind"] == 0]
@@ -480,6 +481,7 @@ def _removed(table: pa.Table, known: pa.Table, parts: int):
 
 
 def _finish(table: pa.Table, known: pa.Table, parts: int, with_rows: bool) -> pa.Table:
+    give_back()
     ids, data, out = table.column("id").to_pylist(), table.column("data").to_pylist(), []
     for block, a, b, gone in _removed(table, known, parts):
         begin = block.end - block.length
@@ -552,6 +554,7 @@ def _results(docs: DataFrame, crowded: int, *rest: Column) -> DataFrame:
     texts = _grouped(docs, groups, tasks, *rest)
 
     def seen(it):
+        give_back()
         for batch in it:
             for rows in _seen(batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_pylist(), parts):
                 yield from _rows(rows, _schema(_SEEN)).to_batches()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, give_back
 
 #: Length of the subsequences, and what each character of their span costs.
 ORDER, DECAY = 3, 0.6
@@ -426,6 +426,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own, known = sent.value, {}
         for batch in it:
             texts = batch.column(1).to_pylist()
@@ -441,10 +442,13 @@ def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> Dat
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        give_back()
         own, known = sent.value, {}
         for batch in texts:
             listed = batch.tolist()
             yield pd.Series(np.concatenate([own.score(listed[a:b], known) for a, b in text_batches(listed)] or [np.empty(0)]), dtype=float)
+        known.clear()
+        give_back()
 
     judge = F.pandas_udf(run, "double")
     return docs.where(judge(F.col("text")) < threshold)

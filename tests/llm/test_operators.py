@@ -9,9 +9,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lexloom.llm import chat, packing, resampling, sentencepiece, topk, toxicity, weighted
+from lexloom.llm import chat, common, packing, resampling, sentencepiece, topk, toxicity, weighted
 from lexloom.llm.queries import BYTE_BPE, PIECES
 
 TEXTS = [None, "", " ", "a", "Hello world", "  two  blanks ", "line\nbreak\n\n", "tab\t end \n", "é ü 日本 ☃ 🙂", "x" * 5000, "word " * 3000, "it's 12 o'clock", "trailing \n  ", " nbsp", "<|endoftext|> a", "▁a ▁▁ b"]
@@ -48,6 +49,28 @@ def test_words_cut_at_blanks_give_the_same_ids():
         assert list(struct.unpack(f"<{len(bpe.ids(text)) // 4}I", bpe.ids(text))) == bpe.whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_a_large_batch_is_packed_in_bounded_parts(monkeypatch):
+    texts = [*TEXTS, *(f"text {i} " + "word " * 400 for i in range(2000)), None, "z" * 1_500_000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    frame, task = type("Frame", (), {"select": lambda self, *_: self, "mapInArrow": lambda self, run, _: run})(), type("Task", (), {"partitionId": lambda self: 2})()
+    monkeypatch.setattr(packing.TaskContext, "get", classmethod(lambda cls: task))
+    out = list(packing.pack(frame, BYTE_BPE, with_ids=True)(iter([batch])))
+    held = [sum(len(texts[i] or "") for i in set(x.column(0).to_pylist())) for x in out]
+    assert len(out) >= 5 and max(held[:-1]) <= 1_000_000
+    rows = [r for x in out for r in x.to_pylist()]
+    assert [r["sequence_id"] for r in rows] == [(2 << 33) + i for i in range(len(rows))] and [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+    got, bpe = {}, packing.ByteBpe(BYTE_BPE)
+    for r in rows:
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert got == {i: [*struct.unpack(f"<{len(b := bpe.ids(t or '')) // 4}I", b), 1] for i, t in enumerate(texts)}
+
+
+def test_workers_give_back_what_they_kept():
+    common.powers(3, 3 << 20)
+    common.give_back()
+    assert not common._powers and list(common.powers(3, 4)) == [1, 3, 9, 27]
+
+
 def test_binary_lengths():
     assert packing.binary_lengths(4096 + 13, 2048) == [2048, 2048, 8, 4, 1]
     with pytest.raises(ValueError):
