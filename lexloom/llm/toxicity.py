@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,8 @@ WITNESSES, TOP = 4, 3
 KEPT_UNITS = 400_000
 #: Characters of texts whose units are scored together.
 TOGETHER = 1_000_000
+#: Subsequences of words that are held at a time.
+HELD = 1 << 19
 #: Weight of an insult with characters put in, as a share of the plain one's, and what is put in.
 SPREAD = 0.2
 _EXTRA = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -96,12 +99,13 @@ def kernel(x: np.ndarray, y: np.ndarray, order: int = ORDER, decay: float = DECA
 
 
 def by_length(words: Sequence[str], most: int = 2048) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Places and words of one length, at most `most` at a time."""
+    """Places and words of one length, at most `most` at a time, and fewer long ones, which have more subsequences."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths):
         on = np.flatnonzero(lengths == n)
-        for a in range(0, len(on), most):
-            yield on[a : a + most], [words[i] for i in on[a : a + most]]
+        step = max(1, min(most, HELD // max(1, comb(int(n), ORDER))))
+        for a in range(0, len(on), step):
+            yield on[a : a + step], [words[i] for i in on[a : a + step]]
 
 
 def self_kernels(words: Sequence[str]) -> np.ndarray:
@@ -243,8 +247,9 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> n
     for _ in range(50):
         margin = 1 - y * (x @ w)
         on = margin > 0
-        grad = shrink * w - x[on].T @ (weight[on] * y[on] * margin[on])
-        step = np.linalg.solve(x[on].T @ (x[on] * weight[on, None]) + np.diag(shrink), grad)
+        inside = x[on]
+        grad = shrink * w - inside.T @ (weight[on] * y[on] * margin[on])
+        step = np.linalg.solve(inside.T @ (inside * weight[on, None]) + np.diag(shrink), grad)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -368,7 +373,9 @@ def train(texts: Sequence[str], toxic: Sequence[int], landmarks: int = 240, roun
             x.append(np.c_[features(chosen, marks) ** POWER @ root, np.ones(len(chosen))])
             label.append(np.full(len(chosen), sign))
             count.append(n / len(y))
-        w = _newton(np.concatenate(x), np.concatenate(label), np.concatenate(count), ridge)
+        x = np.concatenate(x)  # the parts go
+        w = _newton(x, np.concatenate(label), np.concatenate(count), ridge)
+        del x
         machine = Machine(Landmarks(marks), root @ w[:-1], float(w[-1]), np.zeros(TOP + 2))
         score = machine.decide(words)
         if turn < rounds - 1:
@@ -415,7 +422,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3600, 1200)
     least = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
     rows = training_rows(docs, labels, held_out(), most).groupBy("__doc").agg(least, F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["__doc"])
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    give_back()
+    machine = train([r.text for r in rows], [r.toxic for r in rows])
+    give_back()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
