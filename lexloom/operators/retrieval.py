@@ -14,8 +14,10 @@ from ..sources.shared import stored
 from .bm25 import best_chunks
 
 KEY = ("corpus_id", "chunk_id")
-#: Rows of a unit of work of the block product at most, bytes of the vectors of either side of it, and questions that it takes at once.
-BLOCK, TILE_BYTES, ASKED = 16_384, 16_000_000, 1024
+#: Rows of a block of vectors at most, bytes of it, and such blocks that a lot of chunks has at most.
+BLOCK, TILE_BYTES, TILES = 16_384, 16_000_000, 64
+#: Questions and chunks of one product, and rows that are handed on at once.
+ASKED, PIECE, EMITTED = 1024, 2048, 50_000
 
 
 def _ranked(df: DataFrame, by: Sequence[str], *order: Column | str) -> DataFrame:
@@ -43,6 +45,91 @@ def _tiles(vectors: DataFrame) -> int:
     return max(1, -(-rows // max(1, min(BLOCK, TILE_BYTES // (8 * max(longest or 1, 1))))))
 
 
+def _best(state: tuple[np.ndarray, np.ndarray], rows: np.ndarray, d: np.ndarray, first: int) -> None:
+    """Puts the columns of d, numbered from `first`, into the k nearest so far (distances, numbers) of `rows`. Earlier columns go first
+    among equals; NaN is no distance."""
+    far, which = state
+    k = far.shape[1]
+    edge = far[rows, -1]
+    if np.isinf(edge).any():  # not k yet: of these columns none beyond their own k-th
+        own = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(rows), np.inf)
+        here = (d < edge[:, None]) & ~(d > own[:, None])
+    else:
+        here = d < edge[:, None]
+    at, column = np.nonzero(here)
+    if not len(at):
+        return
+    met, at = np.unique(at, return_inverse=True)
+    mine = rows[met]
+    of = np.concatenate([np.repeat(np.arange(len(met)), k), at])
+    dist = np.concatenate([far[mine].ravel(), d[met[at], column]])
+    number = np.concatenate([which[mine].ravel(), first + column])
+    order = np.lexsort((dist, of))
+    start = np.searchsorted(of[order], np.arange(len(met)))
+    kept = order[start[:, None] + np.arange(k)]
+    far[mine], which[mine] = dist[kept], number[kept]
+
+
+class _Search:
+    """The questions of one unit of work and the k nearest of the chunks that came so far."""
+
+    def __init__(self, asked: pa.Table, k: int, by_corpus: bool):
+        self.ids = asked.column("question_id").to_numpy()
+        self.q = matrix(asked.column("vector"))
+        self.norm = np.linalg.norm(self.q, axis=1)
+        self.only = asked.column("corpora").to_pylist()
+        own = asked.column("own").combine_chunks()
+        self.owns = own.drop_null().unique()
+        codes = pc.index_in(own, value_set=self.owns).fill_null(-1).to_numpy().astype(np.int64)
+        self.by_own = np.argsort(codes, kind="stable")
+        self.own_ends = np.searchsorted(codes[self.by_own], np.arange(len(self.owns) + 1))
+        self.by_corpus = by_corpus
+        self.state = np.full((len(self.ids), k), np.inf), np.zeros((len(self.ids), k), np.int64)
+        self.names: list[pa.RecordBatch] = []
+        self.seen = 0
+        self.corpus: tuple = ()
+
+    def take(self, chunks: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Chunks of one corpus, in order of their ids; the results of the corpus before, if they are by corpus."""
+        corpus = chunks.column("corpus_id")[0].as_py()
+        if self.corpus != (corpus,):
+            if self.by_corpus:
+                yield from self.results()
+            self.corpus = (corpus,)
+            self.rows = np.array([i for i, c in enumerate(self.only) if (c is None or corpus in c) and self.norm[i] > 0], np.int64)
+        if not len(self.rows):
+            return
+        x = matrix(chunks.column("vector"))
+        size = np.linalg.norm(x, axis=1)
+        x = np.concatenate([x, np.zeros((-len(x) % 64, x.shape[1]))])  # equal vectors get equal products wherever they stand
+        own = pc.index_in(chunks.column("own"), value_set=self.owns)
+        banned = [(j, self.by_own[self.own_ends[c] : self.own_ends[c + 1]]) for j, c in enumerate(own.to_pylist()) if c is not None]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for a in range(0, len(self.rows), ASKED):
+                rows = self.rows[a : a + ASKED]
+                q = np.concatenate([self.q[rows], np.zeros((-len(rows) % 64, self.q.shape[1]))])
+                d = (q @ x.T)[: len(rows), : len(size)]
+                d = 1 - d / (self.norm[rows][:, None] * size[None, :])
+                for j, of in banned:
+                    d[np.isin(rows, of), j] = np.nan
+                _best(self.state, rows, d, self.seen)
+        self.seen += len(size)
+        self.names.append(chunks.select([*KEY]))
+
+    def results(self) -> Iterator[pa.RecordBatch]:
+        far, which = self.state
+        if self.names:
+            names = pa.Table.from_batches(self.names)
+            step = max(1, EMITTED // far.shape[1])
+            for a in range(0, len(far), step):
+                row, place = np.nonzero(np.isfinite(far[a : a + step]))
+                got = names.take(pa.array(which[a + row, place])).combine_chunks()
+                found = [pa.array(self.ids[a + row]), *[got.column(c).combine_chunks() for c in KEY], pa.array(far[a + row, place])]
+                yield pa.RecordBatch.from_arrays(found, names=["question_id", *KEY, "distance"])
+        far[:] = np.inf
+        self.names, self.seen = [], 0
+
+
 def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, corpora: str | None = None, exclude: tuple[str, str] | None = None, by_corpus: bool = False) -> DataFrame:
     """(question_id, rank, corpus_id, chunk_id, distance): the k nearest chunks of each question; with
     `by_corpus` the k nearest of each corpus for each question, ranked within it.
@@ -51,51 +138,45 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, corpora: str |
     all). Ties go to smaller ids. Zero vectors have no distance and don't rank. `exclude`: columns of
     questions and chunks whose equal values don't pair.
 
-    Chunks and questions are dealt to blocks of about TILE_BYTES of vectors, whatever their dimensions, and BLOCK rows; each pair of
-    blocks is one matrix product in a task, which keeps k rows a question (or corpus of one). Nothing is broadcast."""
-    n_blocks, q_blocks = _tiles(chunks), _tiles(questions)
+    Questions are dealt to blocks of about TILE_BYTES of vectors, whatever their dimensions, and BLOCK rows, chunks to lots of up to TILES such
+    blocks. A block of questions and a lot are one unit of work, a task of its own: the lot streams by in order of its ids, and the task keeps k rows a
+    question (of one corpus at a time with `by_corpus`). Nothing is broadcast."""
+    n_tiles, q_blocks = _tiles(chunks), _tiles(questions)
+    cores = questions.sparkSession.sparkContext.defaultParallelism
+    lots = max(-(-n_tiles // TILES), min(n_tiles, -(-2 * cores // q_blocks)))
     deal = lambda c, n: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
     far = F.lit(None).cast("string")
+    kind = "array<float>" if dict(questions.dtypes)["vector"] == dict(chunks.dtypes)["vector"] == "array<float>" else "array<double>"
     rows = chunks.select(
-        deal(KEY, n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qblock"), F.lit(None).cast("long").alias("question_id"), "corpus_id", "chunk_id", F.col("vector").cast("array<double>").alias("vector"), F.lit(None).cast("array<string>").alias("corpora"), (F.col(exclude[1]).cast("string") if exclude else far).alias("own")
+        deal(KEY, lots).alias("lot"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("block"), F.lit(None).cast("long").alias("question_id"), "corpus_id", "chunk_id", F.col("vector").cast(kind).alias("vector"), F.lit(None).cast("array<string>").alias("corpora"), (F.col(exclude[1]).cast("string") if exclude else far).alias("own"), F.lit(1).alias("kind")
     )
-    asked = questions.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), deal(["question_id"], q_blocks).alias("qblock"), F.col("question_id").cast("long").alias("question_id"), far.alias("corpus_id"), far.alias("chunk_id"), F.col("vector").cast("array<double>").alias("vector"), (F.col(corpora) if corpora else F.lit(None).cast("array<string>")).alias("corpora"), (F.col(exclude[0]).cast("string") if exclude else far).alias("own")
+    asked = questions.where("question_id IS NOT NULL").select(
+        F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), deal(["question_id"], q_blocks).alias("block"), F.col("question_id").cast("long").alias("question_id"), far.alias("corpus_id"), far.alias("chunk_id"), F.col("vector").cast(kind).alias("vector"), (F.col(corpora) if corpora else F.lit(None).cast("array<string>")).alias("corpora"), (F.col(exclude[0]).cast("string") if exclude else far).alias("own"), F.lit(0).alias("kind")
     )
 
-    def nearest(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        is_q = np.array(table.column("question_id").is_valid())
-        have, want = table.filter(pa.array(~is_q)), table.filter(pa.array(is_q))
-        if have.num_rows and want.num_rows:
-            have = have.sort_by([("corpus_id", "ascending"), ("chunk_id", "ascending")])
-            x = matrix(have.column("vector"))
-            norm = np.linalg.norm(x, axis=1)
-            corpus, chunk, own = (np.array(have.column(c).to_pylist(), object) for c in ("corpus_id", "chunk_id", "own"))
-            ends = [*(np.flatnonzero(corpus[1:] != corpus[:-1]) + 1), len(corpus)] if by_corpus else [len(corpus)]
-            for a in range(0, want.num_rows, ASKED):
-                part = want.slice(a, ASKED)
-                q = matrix(part.column("vector"))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = 1 - (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * norm[None, :])
-                for i, (qid, only, mine) in enumerate(zip(*(part.column(c).to_pylist() for c in ("question_id", "corpora", "own")), strict=True)):
-                    ok = ~np.isnan(d[i])
-                    if only is not None:
-                        ok &= np.isin(corpus, only)
-                    if mine is not None:
-                        ok &= own != mine
-                    for first, end in zip([0, *ends], ends, strict=False):
-                        on = np.flatnonzero(ok[first:end]) + first
-                        if len(on) > k:
-                            edge = np.partition(d[i, on], k - 1)[k - 1]
-                            on = on[d[i, on] <= edge]
-                        on = on[np.argsort(d[i, on], kind="stable")[:k]]
-                        out += [(qid, corpus[j], chunk[j], d[i, j]) for j in on]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.float64())
-        return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("question_id", *KEY, "distance"), columns, kinds, strict=True)})
-
-    found = rows.unionByName(asked).groupBy("block", "qblock").applyInArrow(nearest, "question_id long, corpus_id string, chunk_id string, distance double")
+    def nearest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead: list[pa.RecordBatch] = []
+        search = None
+        for batch in it:
+            is_q = batch.column("kind").to_numpy() == 0
+            n_q = int(is_q.sum())  # questions come first
+            if n_q:
+                ahead.append(batch.slice(0, n_q))
+            chunks = batch.slice(n_q)
+            if not chunks.num_rows or not ahead:
+                continue
+            search = search or _Search(pa.Table.from_batches(ahead), k, by_corpus)
+            corpus = chunks.column("corpus_id").dictionary_encode().indices.fill_null(-1).to_numpy()
+            most = max(1, min(PIECE, TILE_BYTES // (8 * max(1, search.q.shape[1]))))
+            ends = [0, *(np.flatnonzero(corpus[1:] != corpus[:-1]) + 1), len(corpus)]
+            for a, z in zip(ends[:-1], ends[1:], strict=True):
+                for first in range(a, z, most):
+                    yield from search.take(chunks.slice(first, min(most, z - first)))
+        if search:
+            yield from search.results()
+
+    units = rows.unionByName(asked).repartitionById(lots * q_blocks, F.col("lot") * q_blocks + F.col("block"))
+    found = units.sortWithinPartitions("kind", *KEY).mapInArrow(nearest, "question_id long, corpus_id string, chunk_id string, distance double")
     return _ranked(found, ["question_id", "corpus_id"] if by_corpus else ["question_id"], "distance", *KEY).where(F.col("rank") <= k).select("question_id", "rank", *KEY, "distance")
 
 
@@ -114,13 +195,17 @@ def quota_topk(candidates: DataFrame, routed: DataFrame, k: int, dedup_key: Sequ
 def replay_depths(deep: DataFrame, routed: DataFrame, ks: Sequence[int] = (20, 30, 40, 50)) -> DataFrame:
     """(question_id, strategy, k, rank, corpus_id, chunk_id, distance): both strategies at every depth.
 
-    deep: a ranking by distance of each question within each corpus, at least as deep as the largest k."""
+    deep: a ranking by distance of each question within each corpus, at least as deep as the largest k. Places among all, and
+    within a corpus, are the same at every depth, so that rows are given out by depth only where a place is within it."""
+    deep = stored(deep)
     depths = deep.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
-    every = deep.crossJoin(F.broadcast(depths))  # the depths are a parameter
+    most = max(int(k) for k in ks)
     one = routed.select("question_id", F.size("corpora").alias("n"), F.explode("corpora").alias("corpus_id"))
     by = ["question_id", "k"]
-    whole = _ranked(every, by, "distance", *KEY).where("rank <= k").withColumn("strategy", F.lit("global"))
-    inside = _ranked(every.join(one, ["question_id", "corpus_id"]), [*by, "corpus_id"], "distance", "chunk_id").where("rank <= ceil(k / n)")
+    whole = _ranked(deep, ["question_id"], "distance", *KEY).where(F.col("rank") <= most)
+    whole = whole.crossJoin(F.broadcast(depths)).where("rank <= k").withColumn("strategy", F.lit("global"))  # the depths are a parameter
+    inside = _ranked(deep.join(one, ["question_id", "corpus_id"]), ["question_id", "corpus_id"], "distance", "chunk_id").where(F.col("rank") <= F.ceil(F.lit(most) / F.col("n")))
+    inside = inside.crossJoin(F.broadcast(depths)).where("rank <= ceil(k / n)")
     quota = _ranked(inside, by, "distance", *KEY).where("rank <= k").withColumn("strategy", F.lit("quota"))
     columns = ["question_id", "strategy", "k", "rank", *KEY, "distance"]
     return whole.select(columns).unionByName(quota.select(columns))

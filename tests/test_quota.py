@@ -1,6 +1,7 @@
 """Quotas of small corpora beside crowded ones."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import bm25, context, retrieval
@@ -91,3 +92,41 @@ def test_tiles_of_long_vectors_are_small(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "matrix", matrix)
     assert sorted(map(tuple, retrieval.vector_topk(asked, chunks, 3).select("question_id", "rank", "chunk_id").collect())) == want
     assert seen.value == 0
+
+
+@pytest.mark.parametrize("by_corpus", [False, True])
+def test_a_task_keeps_k_rows_a_question(spark, monkeypatch, by_corpus):
+    """Every pair of blocks handed on k rows a question and corpus, all of them held as Python rows first; a task keeps k over its whole lot."""
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(-2, 3, size=(60, 6)).astype(float)
+    vectors = [base[i % 60].tolist() if i % 41 else [0.0] * 6 for i in range(640)]
+    rows = [("ab"[i % 3 == 0], f"{i:04}", v) for i, v in enumerate(vectors)]
+    chunks = spark.createDataFrame(rows, "corpus_id string, chunk_id string, vector array<double>").repartition(3).cache()
+    questions = [(i, vectors[i * 7], ["a"] if i % 2 else None, f"{i * 7:04}") for i in range(40)]
+    asked = spark.createDataFrame(questions, "question_id long, vector array<double>, corpora array<string>, self string").cache()
+    for name, value in (("BLOCK", 20), ("PIECE", 16), ("ASKED", 7), ("EMITTED", 11)):
+        monkeypatch.setattr(retrieval, name, value, raising=False)
+    seen, plain = [], retrieval._ranked
+
+    def ranked(df, by, *order):
+        seen.append(df.count())
+        return plain(df, by, *order)
+
+    monkeypatch.setattr(retrieval, "_ranked", ranked)
+    found = retrieval.vector_topk(asked, chunks, 5, corpora="corpora", exclude=("self", "chunk_id"), by_corpus=by_corpus).collect()
+    want = []
+    for q, v, only, own in questions:
+        near = []
+        for c, i, x in rows:
+            if i != own and (only is None or c in only) and np.any(x) and np.any(v):
+                near.append((round(1 - np.dot(v, x) / (np.linalg.norm(v) * np.linalg.norm(x)), 9), c, i))
+        for some in ([[n for n in near if n[1] == c] for c in "ab"] if by_corpus else [near]):
+            want += [(q, rank, c, i, d) for rank, (d, c, i) in enumerate(sorted(some)[:5], 1)]
+    assert len(found) == len(want)
+    assert sorted((r.question_id, r.corpus_id if by_corpus else "", r["rank"], round(r.distance, 9)) for r in found) == sorted((q, c if by_corpus else "", rank, d) for q, rank, c, _, d in want)
+    by_id = {}
+    for r in sorted(found, key=lambda r: (r.question_id, r.corpus_id, r["rank"])):  # copies of a vector come in order of their ids
+        last = by_id.get((r.question_id, r.corpus_id, int(r.chunk_id) % 60))
+        assert last is None or last < r.chunk_id
+        by_id[r.question_id, r.corpus_id, int(r.chunk_id) % 60] = r.chunk_id
+    assert seen[0] <= 2 * 40 * 5 * 8, seen
