@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import relative_score, routing_decision
+from ..sources.shared import stored
 from .retrieval import KEY, apply_rerank, bm25_quota, hybrid_union, quota_topk, vector_topk
 
 #: What a question without a corpus is answered.
@@ -66,19 +67,19 @@ def answer_contexts(
 
     Routed questions search each of their corpora to its own quota of k (hybrid: of `depth`, beside as many hits by
     words from `blocks`, bm25_blocks() of the chunks, with the same quotas), global ones all corpora together, by vectors alone. Only ids, ranks and scores go through the plan; texts join
-    last. Questions without a corpus abstain and aren't searched."""
+    last. What the searches find is stored, so that each goes on once. Questions without a corpus abstain and aren't searched."""
     explicit = "explicit" if "explicit" in questions.columns else None
     decided = questions.withColumn("d", routing_decision("predicted", explicit)).select("*", F.col("d.decision").alias("decision"), F.col("d.corpora").alias("corpora")).drop("d")
     asked = decided.where("decision <> 'abstain'").withColumn("corpora", F.when(F.col("decision") == "routed", F.col("corpora")))
     far = depth if strategy == "hybrid" else k
-    deep = vector_topk(asked, chunks, far, corpora="corpora", by_corpus=True)
+    deep = stored(vector_topk(asked, chunks, far, corpora="corpora", by_corpus=True))
     routed = asked.where("decision = 'routed'").select("question_id", "corpora")
     everywhere = deep.join(asked.where("decision = 'global'").select("question_id"), "question_id", "left_semi")
     everywhere = everywhere.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("distance", *KEY))).where(F.col("rank") <= far)
     found = quota_topk(deep, routed, far).unionByName(everywhere)
     if strategy == "hybrid":
         lexical = bm25_quota(blocks, asked.where("decision = 'routed'").select("question_id", "tokens", "corpora"), far)
-        found = hybrid_union(found, lexical, depth=far, routed=routed).drop("source")
+        found = stored(hybrid_union(found, lexical, depth=far, routed=routed).drop("source"))
     if callable(scores):
         scores = scores(found)
     reranked = apply_rerank(found, scores, n).join(asked.select("question_id", F.col("corpora").alias("routed")), "question_id")

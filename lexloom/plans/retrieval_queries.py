@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, lexical_tokens, parse_context
 from ..operators import bm25, context, metrics, retrieval
+from ..operators.similarity_join import among
+from ..sources.shared import stored
 from .bindings import prefix, spread, sql, table, view
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -224,12 +226,15 @@ G13 = f"""WITH e AS (SELECT vec_id, vec_id // 20 AS t, CAST(embedding AS DOUBLE[
 def g13h(spark, d):
     """Vectors beside the documents of the same number, asked with the first twelve words of a document."""
     asked, chunks = _vectors(spark, d)
-    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("chunk_id"), lexical_tokens("text").alias("tokens"))
-    both = chunks.join(docs, "chunk_id")
+    # only documents that a vector goes with are cut into tokens, once
+    docs = among(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text"), "chunk_id", chunks.select("chunk_id"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    docs, chunks = docs.repartition(parts, "chunk_id"), chunks.repartition(parts, "chunk_id")  # as many tasks however few the bytes
+    both = stored(chunks.join(docs, "chunk_id").withColumn("tokens", lexical_tokens("text")).drop("text"))
     n = F.floor(F.col("question_id") / 20)
     none = F.array().cast("array<string>")
-    asked = asked.join(docs.select(F.col("chunk_id").alias("self"), F.slice("tokens", 1, 12).alias("tokens")), "self")
-    asked = asked.select("question_id", "vector", "tokens", F.when(n % 3 == 0, none).otherwise(F.coalesce("corpora", F.array(F.lit("c1")))).alias("predicted"), F.when(n % 7 == 0, none).when(n % 7 == 1, F.array(F.lit("c3"), F.lit("c1"))).alias("explicit"))
+    asked = asked.join(both.select(F.col("chunk_id").alias("self"), F.slice("tokens", 1, 12).alias("tokens")).where("self % 20 = 0"), "self")
+    asked = stored(asked.select("question_id", "vector", "tokens", F.when(n % 3 == 0, none).otherwise(F.coalesce("corpora", F.array(F.lit("c1")))).alias("predicted"), F.when(n % 7 == 0, none).when(n % 7 == 1, F.array(F.lit("c3"), F.lit("c1"))).alias("explicit")))
     texts = both.select("corpus_id", "chunk_id", F.col("chunk_id").alias("article_number"), F.lit(0).alias("chunk_index"), F.concat(F.lit("vector "), F.col("chunk_id")).alias("content"), "vector")
 
     def scores(found: DataFrame) -> DataFrame:

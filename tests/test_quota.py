@@ -130,3 +130,29 @@ def test_a_task_keeps_k_rows_a_question(spark, monkeypatch, by_corpus):
         assert last is None or last < r.chunk_id
         by_id[r.question_id, r.corpus_id, int(r.chunk_id) % 60] = r.chunk_id
     assert seen[0] <= 2 * 40 * 5 * 8, seen
+
+
+def test_contexts_search_once(spark, monkeypatch):
+    """Scores, candidates and global questions each repeated the searches by vectors and by words."""
+    asked, chunks = crowded(spark)
+    blocks = bm25.bm25_blocks(chunks.withColumn("tokens", F.array("content")))
+    asked = asked.withColumn("tokens", F.array(F.lit("y"))).cache()
+    products, searches = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    matrix, block = retrieval.matrix, bm25._search_block
+
+    def counted(vectors):
+        products.add(1)
+        return matrix(vectors)
+
+    def searched(*args):
+        searches.add(1)
+        yield from block(*args)
+
+    monkeypatch.setattr(retrieval, "matrix", counted)
+    monkeypatch.setattr(bm25, "_search_block", searched)
+
+    def scores(found):
+        return found.select("question_id", "corpus_id", "chunk_id", F.lit(0.5).alias("rerank_score"))
+
+    assert context.answer_contexts(asked, chunks, scores, strategy="hybrid", blocks=blocks).select("context").collect()[0][0]
+    assert products.value <= 3 and searches.value == 1, (products.value, searches.value)
