@@ -196,9 +196,6 @@ def _searched(blocks: DataFrame, asked: DataFrame, only: DataFrame | None, k: in
     """All blocks' best chunks, for questions in one go, or in halves while they need too much to be broadcast."""
     stats, df = bm25_sizes(blocks)
     stats, df = stored(stats), stored(df)
-    cores = blocks.sparkSession.sparkContext.defaultParallelism
-    if blocks.rdd.getNumPartitions() < cores:  # searching takes long beside the bytes of a block
-        blocks = blocks.repartition(cores)
 
     def go(part: DataFrame, of: int, which: int) -> list[DataFrame]:
         mine = part.where(F.pmod(F.xxhash64("question_id"), F.lit(of)) == which) if of > 1 else part
